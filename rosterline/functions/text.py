@@ -22,11 +22,12 @@ DIGITS_ONLY = r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+\z"
 # The e-mail and phone patterns that define a match. The pipe inside
 # the top-level-domain class is part of the pattern.
 EMAIL_BODY = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
-EMAIL = EDGE + EMAIL_BODY + EDGE
+# Each pattern opens with a look at its first character, so that most positions fail cheaply.
+EMAIL = r"(?=[A-Za-z0-9._%+-])" + EDGE + EMAIL_BODY + EDGE
 PHONE_PATTERNS = [
-    EDGE + r"\p{Nd}{3}[-.]?\p{Nd}{3}[-.]?\p{Nd}{4}" + EDGE,
-    EDGE + r"\(\p{Nd}{3}\)" + SPACE + r"*\p{Nd}{3}[-.]?\p{Nd}{4}" + EDGE,
-    EDGE + r"\+\p{Nd}{1,3}(?:[-.]|" + SPACE + r")?\(?\p{Nd}{1,4}\)?(?:[-.]|" + SPACE + r")?\p{Nd}{1,4}(?:[-.]|"
+    r"(?=\p{Nd})" + EDGE + r"\p{Nd}{3}[-.]?\p{Nd}{3}[-.]?\p{Nd}{4}" + EDGE,
+    r"(?=\()" + EDGE + r"\(\p{Nd}{3}\)" + SPACE + r"*\p{Nd}{3}[-.]?\p{Nd}{4}" + EDGE,
+    r"(?=\+)" + EDGE + r"\+\p{Nd}{1,3}(?:[-.]|" + SPACE + r")?\(?\p{Nd}{1,4}\)?(?:[-.]|" + SPACE + r")?\p{Nd}{1,4}(?:[-.]|"
     + SPACE + r")?\p{Nd}{1,9}" + EDGE,
 ]
 
@@ -88,7 +89,10 @@ def reading_time_s(c: ColumnLike, wpm: int = 200) -> Column:
 
 def extract_emails(c: ColumnLike) -> Column:
     """Every e-mail address in order, duplicates kept."""
-    return F.regexp_extract_all(as_column(c), F.lit(EMAIL), F.lit(0))
+    c = as_column(c)
+    return F.when(c.contains("@"), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))).when(
+        c.isNotNull(), F.array().cast("array<string>")
+    )
 
 
 def extract_phones(c: ColumnLike) -> Column:
@@ -98,7 +102,8 @@ def extract_phones(c: ColumnLike) -> Column:
 
 
 def first_email(c: ColumnLike) -> Column:
-    return F.coalesce(F.regexp_substr(as_column(c), F.lit(EMAIL)), F.lit(""))
+    c = as_column(c)
+    return F.coalesce(F.when(c.contains("@"), F.regexp_substr(c, F.lit(EMAIL))), F.lit(""))
 
 
 def first_phone(c: ColumnLike) -> Column:
