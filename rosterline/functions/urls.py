@@ -37,23 +37,29 @@ def _tidy(c: Column) -> Column:
 
 
 def split_url(c: Column) -> Column:
-    """struct(scheme, netloc, path, params, query, fragment), '' for absent parts."""
-    url = _tidy(c)
-    scheme = F.lower(F.regexp_extract(url, SCHEME, 1))
-    whole_path = F.regexp_extract(url, WITH_AUTHORITY + r"([^?#]*)", 1)
-    path_only = F.when(
-        scheme.isin(WITH_PARAMS), F.regexp_extract(whole_path, r"(?s)^((?:.*/)?[^/;]*)", 1)
-    ).otherwise(whole_path)
-    return F.struct(
-        scheme.alias("scheme"),
-        F.regexp_extract(url, AFTER_SCHEME + r"//([^/?#]*)", 1).alias("netloc"),
-        path_only.alias("path"),
-        F.when(
-            scheme.isin(WITH_PARAMS), F.regexp_extract(whole_path, r"(?s)^(?:.*/)?+[^/;]*;(.*)$", 1)
-        ).otherwise(F.lit("")).alias("params"),
-        F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1).alias("query"),
-        F.regexp_extract(url, r"(?s)#(.*)$", 1).alias("fragment"),
-    )
+    """struct(scheme, netloc, path, params, query, fragment), '' for absent parts.
+
+    Bound step by step: repeated subexpressions would otherwise outgrow generated code.
+    """
+
+    def parts(u: Column) -> Column:
+        with_params, path = u["scheme"].isin(WITH_PARAMS), u["path"]
+        return F.struct(
+            u["scheme"].alias("scheme"),
+            F.regexp_extract(u["url"], AFTER_SCHEME + r"//([^/?#]*)", 1).alias("netloc"),
+            F.when(with_params, F.regexp_extract(path, r"(?s)^((?:.*/)?[^/;]*)", 1)).otherwise(path).alias("path"),
+            F.when(with_params, F.regexp_extract(path, r"(?s)^(?:.*/)?+[^/;]*;(.*)$", 1)).otherwise("").alias("params"),
+            F.regexp_extract(u["url"], r"(?s)^[^?#]*\?([^#]*)", 1).alias("query"),
+            F.regexp_extract(u["url"], r"(?s)#(.*)$", 1).alias("fragment"),
+        )
+
+    def located(url: Column) -> Column:
+        return F.struct(
+            url.alias("url"), F.lower(F.regexp_extract(url, SCHEME, 1)).alias("scheme"),
+            F.regexp_extract(url, WITH_AUTHORITY + r"([^?#]*)", 1).alias("path"),
+        )
+
+    return let(let(_tidy(c), located), parts)
 
 
 def unsplit_url(scheme: Column, netloc: Column, path: Column, params: Column, query: Column,
@@ -77,17 +83,24 @@ def unsplit_url(scheme: Column, netloc: Column, path: Column, params: Column, qu
 
 def url_normalize_strict(c: ColumnLike) -> Column:
     """Lower, strip, no fragment, no trailing slash on the path (root becomes '/')."""
-    u = split_url(py_strip(F.lower(as_column(c))))
-    trimmed = F.regexp_replace(u["path"], "/+$", "")
-    path = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    return unsplit_url(u["scheme"], u["netloc"], path, u["params"], u["query"], F.lit(""))
+
+    def rebuild(u: Column) -> Column:
+        trimmed = F.regexp_replace(u["path"], "/+$", "")
+        path = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
+        return unsplit_url(u["scheme"], u["netloc"], path, u["params"], u["query"], F.lit(""))
+
+    return let(split_url(py_strip(F.lower(as_column(c)))), rebuild)
 
 
 def url_normalize(c: ColumnLike) -> Column:
     """Lower, strip, cut at '#', and drop trailing slashes when the path ends with one."""
-    bare = F.split_part(F.lower(py_strip(as_column(c))), F.lit("#"), F.lit(1))
-    path = split_url(bare)["path"]
-    return F.when((path != "/") & path.endswith("/"), F.regexp_replace(bare, "/+$", "")).otherwise(bare)
+
+    def trim(bare: Column) -> Column:
+        path = split_url(bare)["path"]
+        return let(path, lambda p: F.when(
+            (p != "/") & p.endswith("/"), F.regexp_replace(bare, "/+$", "")).otherwise(bare))
+
+    return let(F.split_part(F.lower(py_strip(as_column(c))), F.lit("#"), F.lit(1)), trim)
 
 
 def url_is_valid(c: ColumnLike) -> Column:
@@ -213,25 +226,29 @@ def with_query_param(c: ColumnLike, name: str, value: Column) -> Column:
 
     Equal names are grouped at their first position and a replaced name keeps its place.
     """
-    u = split_url(as_column(c))
-    pairs = F.filter(F.split(u["query"], "&"), lambda p: p.rlike(r"(?s)^[^=]*=.+$"))
-    decoded = F.transform(
-        pairs,
-        lambda p: F.struct(
-            _decode(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"),
-            _decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
-        ),
-    )
-    names = F.array_distinct(F.concat(F.transform(decoded, lambda p: p["k"]), F.array(F.lit(name))))
+    def rebuild(u: Column) -> Column:
+        pairs = F.filter(F.split(u["query"], "&"), lambda p: p.rlike(r"(?s)^[^=]*=.+$"))
+        decoded = F.transform(
+            pairs,
+            lambda p: F.struct(
+                _decode(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"),
+                _decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
+            ),
+        )
+        return let(decoded, lambda found: unsplit_url(
+            u["scheme"], u["netloc"], u["path"], u["params"], requery(found), F.lit("")))
 
     def encode(text: Column) -> Column:
         # Java's encoder keeps '*' and escapes '~'; the form encoding wanted here is the reverse.
         return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
-    def rebuilt(key: Column) -> Column:
-        values = F.transform(F.filter(decoded, lambda p: p["k"] == key), lambda p: p["v"])
-        values = F.when(key == name, F.array(value.cast("string"))).otherwise(values)
-        return F.array_join(F.transform(values, lambda v: F.concat(encode(key), F.lit("="), encode(v))), "&")
+    def requery(found: Column) -> Column:
+        def rebuilt(key: Column) -> Column:
+            values = F.transform(F.filter(found, lambda p: p["k"] == key), lambda p: p["v"])
+            values = F.when(key == name, F.array(value.cast("string"))).otherwise(values)
+            return F.array_join(F.transform(values, lambda v: F.concat(encode(key), F.lit("="), encode(v))), "&")
+
+        names = F.array_distinct(F.concat(F.transform(found, lambda p: p["k"]), F.array(F.lit(name))))
+        return F.array_join(F.transform(names, rebuilt), "&")
 
-    query = F.array_join(F.transform(names, rebuilt), "&")
-    return unsplit_url(u["scheme"], u["netloc"], u["path"], u["params"], query, F.lit(""))
+    return let(split_url(as_column(c)), rebuild)

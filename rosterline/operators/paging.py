@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.functions.nodes import Page, Scope, attr
+from rosterline.functions.nodes import DOM_COLUMNS, Page, Scope, attr
 from rosterline.functions.text import DIGITS_ONLY, let, py_strip
 from rosterline.functions.urls import has_cursor_param, url_join, url_normalize, with_query_param
 from rosterline.operators.extract import BLANK
-from rosterline.operators.ranking import top_k
 
 # Strategies and the link texts that mean "next".
 NEXT_LINK, NUMBERED, CURSOR, INFINITE_SCROLL, NONE = "next_link", "numbered", "cursor", "infinite_scroll", "none"
@@ -103,22 +102,25 @@ def next_pages(
     """
     page = Page()
     chosen = strategy if strategy is not None else pagination_strategy(page, F.col(start_url))
-    planned = dom.withColumn("strategy", chosen)
-    planned = planned.select(
-        *keys, "strategy",
-        F.posexplode(candidate_urls(candidate_hrefs(page, F.col("strategy")), F.col(start_url), F.col("strategy")))
-        .alias("ord", "next_url"),
-    ).withColumns({"ord": F.col("ord").cast("bigint"), "seen_url": url_normalize("next_url")})
+    planned = dom.select(*dict.fromkeys([*keys, start_url]), chosen.alias("strategy"), *DOM_COLUMNS)
+    urls = candidate_urls(candidate_hrefs(page, F.col("strategy")), F.col(start_url), F.col("strategy"))
+    entries = F.transform(
+        urls,
+        lambda u, i: F.struct(i.cast("bigint").alias("ord"), u.alias("next_url"), url_normalize(u).alias("seen_url")),
+    )
+    listed = planned.select(*keys, "strategy", entries.alias("found"))
     if seen is not None:
-        planned = planned.join(seen.select("seen_url"), "seen_url", "left_anti")
-    many = F.col("strategy") == NUMBERED
-    if max_pages:
-        numbered = top_k(planned.where(many), list(keys), ["ord"], max_pages - 1)
-        planned = numbered.unionByName(planned.where(~many))
-    # A page's candidates come from one pager, so these groups stay small.
-    unique = top_k(planned, [*keys, "seen_url"], ["ord"], 1)
-    firsts = top_k(unique.where(~many), list(keys), ["ord"], 1)
-    return unique.where(many).unionByName(firsts).select(*keys, "strategy", "ord", "next_url")
+        unseen = listed.select(*keys, "strategy", F.inline("found")).join(seen.select("seen_url"), "seen_url", "left_anti")
+        # Back to one row per page; a group is one page's pager, which already was one row.
+        listed = unseen.groupBy(*keys, "strategy").agg(
+            F.array_sort(F.collect_list(F.struct("ord", "next_url", "seen_url"))).alias("found")
+        )
+    found = F.col("found")
+    many = F.slice(found, 1, max_pages - 1) if max_pages else found
+    norms = F.transform(many, lambda e: e["seen_url"])
+    distinct = F.filter(many, lambda e, i: F.array_position(norms, e["seen_url"]) == i + 1)
+    taken = F.when(F.col("strategy") == NUMBERED, distinct).otherwise(F.slice(found, 1, 1))
+    return listed.select(*keys, "strategy", F.inline(taken)).drop("seen_url")
 
 
 def numbered_urls(
