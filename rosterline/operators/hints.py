@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.urls import url_registered_domain
+from rosterline.operators.skew import skew_join
 
 
 @dataclass(frozen=True)
@@ -53,4 +54,4 @@ def hints_lookup(targets: DataFrame, hints: DataFrame, target: str = "target") -
         names.join(F.broadcast(packed), domain_matches(F.col("_domain"), F.col(target)))
         .groupBy(target).agg(F.min_by("hint", "ord").alias("hint"))
     )
-    return targets.join(matched, target, "left")
+    return skew_join(targets, matched, target)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.text import let
 from rosterline.functions.urls import split_url, url_netloc
+from rosterline.operators.skew import skew_join
 
 RULES_TYPE = "array<struct<agent:string,allow:boolean,prefix:string,ord:int>>"
 
@@ -85,7 +86,7 @@ def with_robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = "*
         F.when(parts["query"] != "", F.concat(F.lit("?"), parts["query"])).otherwise(""),
     )
     located = urls.withColumn("host", F.coalesce(url_netloc(url), F.lit(""))).withColumn("_path", _decoded(path))
-    joined = located.join(per_host, "host", "left")
+    joined = skew_join(located, per_host, "host")
     return joined.withColumn(
         "allowed", F.coalesce(F.when(F.col("_rules").isNotNull(), decide(F.col("_rules"))), F.lit(True))
     ).drop("_rules", "_path", "host")

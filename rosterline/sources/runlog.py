@@ -69,4 +69,4 @@ def skip_done(tasks: DataFrame, events: DataFrame, run_id: str = "run_id", task:
         return tasks
     keys = [run_id, task] if scope == "run" else [task]
     done = events.select(F.col("run_id").alias(run_id), F.col("key").alias(task)).select(*keys).distinct()
-    return tasks.join(done, keys, "left_anti")
+    return tasks.join(done, keys, "left_anti").select(*tasks.columns)
