@@ -54,12 +54,14 @@ def scored_cards(page: Scope) -> Column:
 
     A node several selectors match is listed once per selector.
     """
-    found = F.flatten(F.array(*[
-        F.transform(
-            page.select(s),
-            lambda n, i=i: F.struct(F.lit(i).alias("selector"), n["id"].alias("id"), n.alias("node")))
-        for i, s in enumerate(CARD_SELECTORS)
-    ]))
+
+    def matches(position: int, selector: str) -> Column:
+        return F.transform(
+            page.select(selector),
+            lambda n: F.struct(F.lit(position).alias("selector"), n["id"].alias("id"), n.alias("node")),
+        )
+
+    found = F.flatten(F.array(*[matches(i, s) for i, s in enumerate(CARD_SELECTORS)]))
     scored = F.transform(
         found,
         lambda c: F.struct((-card_score(page, c["node"])).alias("order"), c["selector"], c["id"]),
