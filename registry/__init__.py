@@ -36,4 +36,4 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def load_all() -> None:
-    from registry import directory, records, scalars, trees  # noqa: F401
+    from registry import directory, jobs, records, scalars, trees  # noqa: F401
