@@ -228,9 +228,7 @@ def enrich_apply(spark, d):
 
 @query("enrich_merge", f"{BATCH_SQL} {APPLIED_SQL}")
 def enrich_merge(spark, d):
-    # Records that share a key share the submission too, so one result per key is all there is.
-    results = _batch(spark, d).dropDuplicates(["idempotency_key"])
-    merged = enrich.enrich_merge(people(spark, d), results)
+    merged = enrich.enrich_merge(people(spark, d), _batch(spark, d))
     return merged.select("seq", "title", "email", "phone", F.col("_enrichment_confidence").alias("confidence"))
 
 

@@ -243,8 +243,9 @@ def extract_by_label(page: Scope, labels: list[str], faithful: bool = False) ->
         pattern = "(?i)(?u)" + edge_before + _quote(label) + edge_after
 
         def values(carriers: Column) -> Column:
+            # In document order a carrier holds another one exactly when it holds the next.
             inner = F.filter(
-                carriers, lambda n: ~F.exists(carriers, lambda m: (m["id"] > n["id"]) & (m["id"] <= n["last"]))
+                carriers, lambda n, i: F.coalesce(F.get(carriers, i + 1)["id"] > n["last"], F.lit(True))
             )
             ordered = carriers if faithful else F.concat(inner, F.reverse(carriers))
             found = F.transform(ordered, lambda n: value_near_label(page, n, F.lit(label)))

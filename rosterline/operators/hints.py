@@ -12,6 +12,10 @@ from rosterline.functions.urls import url_registered_domain
 from rosterline.operators.skew import skew_join
 
 
+# Substring matching compares every hint with every distinct target, so both stay countable.
+MAX_HINTS = 10_000
+
+
 @dataclass(frozen=True)
 class SiteHints:
     domain: str
@@ -45,9 +49,12 @@ def hinted(
 def hints_lookup(targets: DataFrame, hints: DataFrame, target: str = "target") -> DataFrame:
     """Add ``hint``: the first hint row (by ``ord``) whose ``domain`` matches, else null.
 
-    Hints are site settings, a table of fixed small size. They are matched against the
-    *distinct* targets, so the input itself only takes part in an equi join.
+    Hints are site settings; their number is checked before they are broadcast. They are
+    matched against the *distinct* targets, so the input itself only takes part in an
+    equi join.
     """
+    if hints.limit(MAX_HINTS + 1).count() > MAX_HINTS:
+        raise ValueError(f"more than {MAX_HINTS} site hints; match such a table by equal domains instead")
     packed = hints.select(F.col("ord"), F.col("domain").alias("_domain"), F.struct(*hints.columns).alias("hint"))
     names = targets.select(target).where(F.col(target).isNotNull()).distinct()
     matched = (

@@ -23,7 +23,9 @@ def skew_join(big: DataFrame, keyed: DataFrame, on: str, how: str = "left", spre
     hot = F.broadcast(sizes.where(F.col("_n") > limit).select(on, F.lit(True).alias("_hot")))
     columns = [f"`{c}`" for c, t in big.dtypes if "map<" not in t and "variant" not in t]
     salt = F.pmod(F.xxhash64(*columns), F.lit(spread)).cast("int")
-    left = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    # Null keys match nothing, but would all meet in one task.
+    spread_out = F.col("_hot") | F.col(on).isNull()
+    left = big.join(hot, on, "left").withColumn("_salt", F.when(spread_out, salt).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     right = keyed.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [on, "_salt"], how).drop("_salt")

@@ -25,7 +25,7 @@ from rosterline.operators.ranking import top_k, with_global_rank
 from rosterline.operators.robots import with_robots_allowed
 from rosterline.session import materialize
 from rosterline.sources.pages import as_pages
-from rosterline.sources.runlog import skip_done
+from rosterline.sources.runlog import event_rows, skip_done
 
 LIST_CONFIDENCE, DETAIL_CONFIDENCE = 0.8, 0.9
 FIELDS = ["page_url", "name", "email", "phone", "title", "bio", "org", "location"]
@@ -275,10 +275,13 @@ def detail_page_records(
 
 
 def crawl_records(crawl: Crawl) -> DataFrame:
-    """Records in crawl order, one per record id and crawl, before the final key dedup."""
+    """Records in crawl order, one per record id and crawl, before the final key dedup.
+
+    Written to a checkpoint once, because output and statistics both read them.
+    """
     both = list_page_records(crawl.visited, crawl.facts).unionByName(
         detail_page_records(crawl.visited, crawl.facts, crawl.options.fill), allowMissingColumns=True)
-    return dedup_record_id(both, ORDER, ["crawl_id"], crawl.options.prefer)
+    return materialize(dedup_record_id(both, ORDER, ["crawl_id"], crawl.options.prefer))
 
 
 def crawl_output(records: DataFrame) -> DataFrame:
@@ -309,7 +312,5 @@ def run_stats(crawl: Crawl, records: DataFrame, output: DataFrame) -> DataFrame:
 
 def page_events(crawl: Crawl) -> DataFrame:
     """A page_fetched event per visited page, for the event log."""
-    from rosterline.sources.runlog import event_rows
-
     return event_rows(
         crawl.visited, F.col("crawl_id"), F.lit("page_fetched"), F.col("task_id"), F.struct("url", "status"))
