@@ -13,7 +13,7 @@ from rosterline.operators import extract, hints, listing, paging, robots
 from rosterline.operators.dedup import dedup_record_id
 from rosterline.operators.schema import PERSON, Field, RecordSchema
 from rosterline.plans import crawl as crawls
-from rosterline.sources.pages import as_pages
+from rosterline.sources.pages import as_pages, spread
 
 SITE = "https://dir.example.org"
 BLOCK = 250
@@ -33,7 +33,7 @@ LISTED = f"WITH {MEMBERS_SQL}, {LISTS_SQL} "
 
 
 def members(spark, d):
-    people = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    people = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
     places = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return people.join(places, "c_nationkey").select(
         F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"), F.col("n_name").alias("place"),
@@ -62,7 +62,9 @@ def list_pages(spark, d):
     card = F.format_string(
         '<div class="person-card"><h3><a href="/people/%1$s">%2$s</a></h3> <p class="title">%3$s</p> '
         '<p class="email">%4$s</p> <p class="phone">%5$s</p></div>', "id", "name", "title", "email", "phone")
-    pages = members(spark, d).groupBy("n", "place", "p").agg(
+    # By number, so that pages stay spread: they are small to store but not to parse.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages = members(spark, d).repartition(width, "n", "place", "p").groupBy("n", "place", "p").agg(
         F.array_sort(F.collect_list(F.struct("id", card.alias("card")))).alias("cards"))
     html = F.concat(
         F.format_string("<html><head><title>%1$s</title></head><body><h1>People of %1$s</h1><div class='listing'>", "place"),

@@ -6,7 +6,7 @@ from registry import query, table
 from registry.scalars import STRICT_SQL, clean_sql
 from rosterline.functions.nodes import Page, attr, page_links, with_dom
 from rosterline.operators import extract
-from rosterline.sources.pages import scan_pages
+from rosterline.sources.pages import scan_pages, spread
 
 
 def decoded(expression: str) -> str:
@@ -17,7 +17,7 @@ def decoded(expression: str) -> str:
 
 
 def dom(spark, d):
-    return with_dom(table(spark, d, "pages"))
+    return with_dom(spread(table(spark, d, "pages")))
 
 
 def count_of(pattern: str) -> str:

@@ -12,20 +12,25 @@ SMALL_CUT = 10_000
 _ROW_BITS = 33
 
 
-def with_global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank") -> DataFrame:
-    """Add the 0-based position in a total order.
+def with_order_id(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Add an increasing, not dense id along a total order, sorted in parallel and checkpointed.
 
-    A range partitioning sorts in parallel; positions are offsets of whole partitions
-    plus the place within one. Only one count per partition is joined back, which is
-    bounded by the number of partitions. ``order`` should be unique: equal keys are
-    never split across partitions.
+    ``order`` should be unique: equal keys are never split across partitions.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(
         df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn(name, F.monotonically_increasing_id())
     )
+
+
+def with_global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank") -> DataFrame:
+    """Add the 0-based position in a total order.
+
+    A position is the rows of all partitions before plus the place within one. Only one
+    count per partition is joined back, which is bounded by the number of partitions.
+    """
+    placed = with_order_id(df, order, "_place")
     part = F.shiftright("_place", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = F.coalesce(

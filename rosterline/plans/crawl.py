@@ -1,9 +1,9 @@
 """Replaying crawls over stored pages.
 
 All crawls advance together, one level of the link graph per step. A page is parsed
-once, into a compact row of facts kept partitioned by task id, so each level only
-shuffles the small frontier. Order within a level is a dense rank from a parallel
-sort; no crawl is ever gathered in one task, whatever its share of the pages.
+once, into a compact row of facts bucketed by task id, so each level reads the link
+columns only and shuffles nothing but the frontier. Order within a level is an id from
+a parallel sort; no crawl is gathered in one task, whatever its share of the pages.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from rosterline.operators import listing, paging
 from rosterline.operators.dedup import dedup_by_keys, dedup_record_id
 from rosterline.operators.extract import BLANK, resolve_all_fields
 from rosterline.operators.hints import SiteHints, hinted
-from rosterline.operators.ranking import top_k, with_global_rank
+from rosterline.operators.ranking import top_k, with_global_rank, with_order_id
 from rosterline.operators.robots import with_robots_allowed
-from rosterline.session import materialize
+from rosterline.session import materialize, store_bucketed
 from rosterline.sources.pages import as_pages
 from rosterline.sources.runlog import event_rows, skip_done
 
@@ -140,7 +140,8 @@ def _claims(candidates: DataFrame, contested: bool) -> DataFrame:
     """Who gets which next page when pages of one level want the same.
 
     Pages come in rank order: a numbered page takes all its candidates, any other its
-    first free one. At the first level a crawl has one page, so nothing is contested. Losers move on to their next candidate until nobody loses.
+    first free one. Losers move on to their next candidate until nobody loses. At the
+    first level a crawl has one page, so nothing is contested.
     """
     page = ["crawl_id", "parent_rank"]
     open_ = candidates
@@ -156,30 +157,38 @@ def _claims(candidates: DataFrame, contested: bool) -> DataFrame:
         open_ = materialize(open_.join(lost, [*page, "ord"], "left_anti"))
 
 
-def _next_tasks(lists: DataFrame, seen: _Growing, options: CrawlOptions, contested: bool) -> DataFrame:
-    """Tasks a level of list pages queues: detail pages first, then next pages."""
-    details = lists.select(
-        "crawl_id", "start_url", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank"),
-        F.posexplode(F.slice(listing.absolute(F.col("detail_hrefs"), F.col("url")), 1, options.detail_limit))
-        .alias("ord", "next_url"),
-    ).where(url_is_person("next_url")).withColumns({
-        "kind": F.lit(0), "depth": F.lit(1), "seen_url": F.lit(None).cast("string")})
-    strategy = F.coalesce(
-        F.col("strategy"), F.when(has_cursor_param("start_url"), paging.CURSOR).otherwise(paging.NONE)
-    )
+def _level_columns(options: CrawlOptions) -> dict[str, Column]:
+    """The expressions every level uses, built once per replay."""
+    details = listing.absolute(F.col("detail_hrefs"), F.col("url"))
     hrefs = (
         F.when(F.col("used") == paging.NEXT_LINK, F.col("next_hrefs"))
         .when(F.col("used") == paging.NUMBERED, F.col("numbered_hrefs"))
         .when(F.col("used") == paging.CURSOR, F.col("cursor_hrefs"))
     )
-    candidates = lists.withColumn("used", strategy).select(
-        "crawl_id", "start_url", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank"),
-        (F.col("used") == paging.NUMBERED).alias("many"),
-        F.posexplode(paging.candidate_urls(hrefs, F.col("start_url"), F.col("used"))).alias("ord", "next_url"),
-    ).withColumn("seen_url", url_normalize("next_url"))
+    return {
+        "details": F.posexplode(F.slice(details, 1, options.detail_limit)).alias("ord", "next_url"),
+        "used": F.coalesce(
+            F.col("strategy"), F.when(has_cursor_param("start_url"), paging.CURSOR).otherwise(paging.NONE)),
+        "nexts": F.posexplode(paging.candidate_urls(hrefs, F.col("start_url"), F.col("used"))).alias("ord", "next_url"),
+        "is_person": url_is_person("next_url"),
+        "seen_url": url_normalize("next_url"),
+        "task_id": task_id("next_url"),
+    }
+
+
+def _next_tasks(lists: DataFrame, seen: _Growing, columns: dict[str, Column], contested: bool) -> DataFrame:
+    """Tasks a level of list pages queues: detail pages first, then next pages."""
+    parent = ["crawl_id", "start_url", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank")]
+    details = lists.select(*parent, columns["details"]).where(columns["is_person"]).withColumns({
+        "kind": F.lit(0), "depth": F.lit(1), "seen_url": F.lit(None).cast("string")})
+    candidates = lists.withColumn("used", columns["used"]).select(
+        *parent, (F.col("used") == paging.NUMBERED).alias("many"), columns["nexts"],
+    ).withColumn("seen_url", columns["seen_url"])
     if seen.parts:
         candidates = candidates.join(seen.frame, ["crawl_id", "seen_url"], "left_anti")
-    nexts = _claims(materialize(candidates), contested).drop("many").withColumns({"kind": F.lit(1), "depth": F.lit(0)})
+    candidates = materialize(candidates)
+    contested = contested and not candidates.where("not many").isEmpty()
+    nexts = _claims(candidates, contested).drop("many").withColumns({"kind": F.lit(1), "depth": F.lit(0)})
     return details.unionByName(nexts)
 
 
@@ -203,11 +212,12 @@ def crawl_replay(
     else:
         starts = starts.withColumn("allowed", F.lit(True))
     starts = materialize(starts)
-    facts = materialize(page_facts(pages, options.hints))
+    facts = store_bucketed(page_facts(pages, options.hints), "task_id")
     frontier = starts.where("allowed").select(
         "crawl_id", "start_url", F.col("start_url").alias("url"), task_id("start_url").alias("task_id"),
         F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("rank"),
     )
+    columns = _level_columns(options)
     visited, seen, failed = _Growing(), _Growing(), _Growing()
     level = 0
     while True:
@@ -234,12 +244,12 @@ def crawl_replay(
         if stops is not None:
             lists = lists.join(stops, "crawl_id", "left_anti")
         lists = join_frontier(lists.drop("status"), facts.drop("url", "cards", "detail", "status"), "inner")
-        ranked = with_global_rank(
-            _next_tasks(lists, seen, options, contested=level > 0), ["crawl_id", "parent_rank", "kind", "ord"]
+        ranked = with_order_id(
+            _next_tasks(lists, seen, columns, contested=level > 0), ["crawl_id", "parent_rank", "kind", "ord"]
         )
         seen.add(ranked.where("kind = 1").select("crawl_id", "seen_url"))
         frontier = ranked.select(
-            "crawl_id", "start_url", F.col("next_url").alias("url"), task_id("next_url").alias("task_id"), "parent_url",
+            "crawl_id", "start_url", F.col("next_url").alias("url"), columns["task_id"].alias("task_id"), "parent_url",
             "depth", "rank",
         )
         if frontier.isEmpty():

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from rosterline.functions.urls import task_id
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core for a scan that has fewer splits than there are cores.
+
+    Such an input is smaller than one split per core, so moving it is cheap; a larger one
+    is left where it is. Only for plain scans, whose partitions are known without running.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def as_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(task_id, url, html, status) of any table with a URL and its HTML; other columns are not read."""
     status = F.col("status").cast("int") if "status" in df.columns else F.lit(200)
@@ -16,7 +26,9 @@ def as_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, path: str, url: str = "url", html: str = "html") -> DataFrame:
-    return as_pages(spark.read.parquet(path), url, html)
+    stored = spark.read.parquet(path)
+    columns = [c for c in (url, html, "status") if c in stored.columns]
+    return as_pages(spread(stored.select(*columns)), url, html)
 
 
 def stream_pages(spark: SparkSession, path: str, url: str = "url", html: str = "html", files_per_trigger: int = 1000
