@@ -139,13 +139,13 @@ def idempotency_key(spark, d):
 
 
 # One submission per customer outside MACHINERY; keys of records without a name and URL coincide.
-SENT_SQL = f"""sent AS (SELECT {KEY_SQL} AS k, max(lpad((seq % 150)::VARCHAR, 3, '0')) AS task_id
+SENT_SQL = f"""sent AS (SELECT {KEY_SQL} AS k, max((seq % 150)::VARCHAR) AS task_id
     FROM ({PEOPLE_SQL}) WHERE org <> 'MACHINERY' GROUP BY 1)"""
 
 
 def _sent(spark, d):
     return enrich.with_idempotency_key(people(spark, d)).where("org <> 'MACHINERY'").select(
-        "idempotency_key", F.lpad((F.col("seq") % 150).cast("string"), 3, "0").alias("task_id"))
+        "idempotency_key", (F.col("seq") % 150).cast("string").alias("task_id"))
 
 
 @query("submit_outcome", f"""WITH {SENT_SQL} SELECT seq, task_id,
@@ -162,7 +162,7 @@ STATUS = ("CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'process
 OUTCOME_SQL = """
     s AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS t0 FROM events),
     decided AS (SELECT * FROM s WHERE event_type NOT IN ('view', 'click') OR epoch_us(ts) - epoch_us(t0) > 900000000),
-    outcome AS (SELECT lpad(user_id::VARCHAR, 3, '0') AS task_id, event_id, ts, event_type,
+    outcome AS (SELECT user_id::VARCHAR AS task_id, event_id, ts, event_type,
         event_type = 'purchase' AS success, CASE event_type WHEN 'purchase' THEN NULL
             WHEN 'error' THEN 'Job failed: ' || coalesce('e' || nullif(event_id % 3, 0), 'Unknown error')
             WHEN 'signup' THEN 'Unknown status: signup' ELSE 'Polling timeout after 900s' END AS error
@@ -171,7 +171,7 @@ OUTCOME_SQL = """
 
 def statuses(spark, d):
     return table(spark, d, "events").select(
-        F.lpad(F.col("user_id").cast("string"), 3, "0").alias("task_id"), "ts", F.col("event_id").alias("seq"),
+        F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"),
         F.expr(STATUS).alias("status"),
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 > 0), F.concat(F.lit("e"), F.col("event_id") % 3))
         .alias("error"),
