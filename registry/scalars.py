@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from registry import query, table
 from rosterline.functions import text, urls
+from rosterline.sources.pages import spread
 
 # --- URLs ------------------------------------------------------------------------------------
 
@@ -21,7 +22,8 @@ LOOSE_SQL = """
 
 
 def variants(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.expr(VARIANTS)).alias("url"))
+    return spread(table(spark, d, "pages").select("page_id", "url")).select(
+        "page_id", F.explode(F.expr(VARIANTS)).alias("url"))
 
 
 def _variant_query(key, build, out, expression):
@@ -56,7 +58,7 @@ REFS = ["/x/y", "?page=2", "https://other.example.org/z?a=1", "//cdn.example.org
     FROM p, refs""")
 def url_join(spark, d):
     refs = F.explode(F.array(*map(F.lit, REFS))).alias("ref")
-    return table(spark, d, "pages").select("page_id", "url", refs).select(
+    return spread(table(spark, d, "pages").select("page_id", "url")).select("page_id", "url", refs).select(
         "page_id", "ref", urls.url_join("url", "ref").alias("joined"))
 
 
@@ -118,7 +120,7 @@ def clean_sql(expression: str) -> str:
 
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 @query("extract_emails", f"""

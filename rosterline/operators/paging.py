@@ -111,9 +111,9 @@ def next_pages(
     listed = planned.select(*keys, "strategy", entries.alias("found"))
     if seen is not None:
         unseen = listed.select(*keys, "strategy", F.inline("found")).join(seen.select("seen_url"), "seen_url", "left_anti")
-        # Back to one row per page; a group is one page's pager, which already was one row.
+        # Back to one row per page. A set, so that copies of a page fold into one pager before the shuffle.
         listed = unseen.groupBy(*keys, "strategy").agg(
-            F.array_sort(F.collect_list(F.struct("ord", "next_url", "seen_url"))).alias("found")
+            F.array_sort(F.collect_set(F.struct("ord", "next_url", "seen_url"))).alias("found")
         )
     found = F.col("found")
     many = F.slice(found, 1, max_pages - 1) if max_pages else found

@@ -71,8 +71,8 @@ def with_robots_allowed(urls: DataFrame, robots: DataFrame, user_agent: str = "*
     named = (F.col("agent") != "*") & F.lit(agent).contains(F.col("agent"))
     fitting = rules.where(named | (F.col("agent") == "*")).withColumn("named", named)
     entry = F.struct("ord", "allow", "prefix", "named")
-    # The number of rules per host is that of one robots.txt text, which already was one row.
-    per_host = fitting.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("_rules"))
+    # A set, so that copies of a host's text fold into the rules of one before the shuffle.
+    per_host = fitting.groupBy("host").agg(F.array_sort(F.collect_set(entry)).alias("_rules"))
 
     def decide(joined: Column) -> Column:
         own = F.filter(joined, lambda r: r["named"])

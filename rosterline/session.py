@@ -66,4 +66,7 @@ def store_bucketed(df: DataFrame, key: str) -> DataFrame:
         df.write.format("parquet").option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
         .bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     )
-    return spark.table(name)
+    stored = spark.table(name)
+    # The files are what is used from here on; the catalog keeps no trace of them.
+    spark.sql(f"DROP TABLE {name}")
+    return stored

@@ -18,6 +18,10 @@ from rosterline.sources.runlog import event_rows, log_events, read_events, skip_
 
 OUTCOME_TYPE = "task_id string, ts timestamp, status string, success boolean, error string, result_json string"
 STATE_TYPE = "started_us long, closed boolean"
+OBSERVATION_TYPE = (
+    "task_id string, ts timestamp, seq long, status string, error string, result_json string, fetch_error string"
+)
+OPEN_STATUSES = ["pending", "processing"]
 
 
 def stream_records(pages: DataFrame, event_time: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
@@ -51,13 +55,29 @@ def _decide(row, started_us: int, max_wait: int) -> tuple[bool, str | None] | No
         return True, None
     if row.status == "failed":
         return False, f"Job failed: {'Unknown error' if row.error is None else row.error}"
-    if row.status in ("pending", "processing"):
+    if row.status in OPEN_STATUSES:
         if (row.ts.value // 1000 - started_us) / 1e6 > max_wait:
             return False, f"Polling timeout after {max_wait}s"
         return None
     return False, f"Unknown status: {row.status}"
 
 
+def prune_observations(batch: pd.DataFrame, max_wait: int = MAX_WAIT_S) -> pd.DataFrame:
+    """The rows of a batch that can still decide their task.
+
+    The first verdict and the first late waiting row of a task make all later ones
+    irrelevant. What is late here is late for good: a start seen elsewhere can only be
+    earlier. A busy task thus leaves a batch with at most ``max_wait`` seconds of rows.
+    """
+    ordered = batch.sort_values(["ts", "seq"])
+    waiting = ordered["status"].isin(OPEN_STATUSES) & ordered["fetch_error"].isna()
+    late = ordered["ts"] > ordered.groupby("task_id")["ts"].transform("min") + pd.Timedelta(seconds=max_wait)
+    decides = ordered[~waiting].drop_duplicates("task_id").index
+    expires = ordered[waiting & late].drop_duplicates("task_id").index
+    keep = (waiting & ~late) | ordered.index.isin(decides) | ordered.index.isin(expires)
+    return ordered[keep]
+
+
 def stream_job_status(
     statuses: DataFrame, max_wait: int = MAX_WAIT_S, lateness: str = "10 minutes", keep_closed_s: int = 86_400,
     silence_s: int | None = None,
@@ -66,10 +86,14 @@ def stream_job_status(
 
     Observations are taken in (ts, seq) order within a trigger and ignored once a task
     is closed; a closed task is forgotten ``keep_closed_s`` of event time later.
-    ``silence_s`` also closes tasks that long without a verdict. A task's rows pass
-    through in Arrow chunks and only the earliest ones that can matter are held.
+    ``silence_s`` also closes tasks that long without a verdict. Rows that can decide
+    nothing are dropped before the shuffle, so a busy task does not flood its state.
     """
 
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield prune_observations(batch.reset_index(drop=True), max_wait)
+
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, closed = state.get if state.exists else (None, False)
         if state.hasTimedOut:
@@ -90,7 +114,7 @@ def stream_job_status(
             first_us = low if started is None and first_us is None else first_us
             if started is None:
                 first_us = min(first_us, low)
-            is_open = rows["status"].isin(["pending", "processing"]) & rows["fetch_error"].isna()
+            is_open = rows["status"].isin(OPEN_STATUSES) & rows["fetch_error"].isna()
             final = rows[~is_open]
             if len(final):
                 head = final.sort_values(["ts", "seq"]).iloc[0]
@@ -120,6 +144,7 @@ def stream_job_status(
     return (
         statuses.withColumn("task_id", F.col("task_id").cast("string"))
         .select("task_id", "ts", "seq", "status", "error", "result_json", "fetch_error")
+        .mapInPandas(prune, OBSERVATION_TYPE)
         .withWatermark("ts", lateness)
         .groupBy("task_id")
         .applyInPandasWithState(step, OUTCOME_TYPE, STATE_TYPE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,7 @@
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,24 @@ def test_stream_status_equals_batch(spark, tmp_path, statuses):  # noqa: F811
     assert got == EXPECTED
 
 
+def test_pruning_keeps_every_deciding_row():
+    rng = random.Random(5)
+    rows = pd.DataFrame([
+        {"task_id": f"t{rng.randint(0, 5)}", "ts": pd.Timestamp(1_700_000_000 + rng.randint(0, 4000), unit="s"), "seq": i,
+         "status": rng.choice(["pending"] * 40 + ["completed", "failed"]), "fetch_error": None} for i in range(3000)])
+    rows = rows[(rows.task_id != "t0") | (rows.status == "pending")]
+
+    def verdict(g):
+        start = g.ts.min()
+        g = g.sort_values(["ts", "seq"])
+        return g[(g.status != "pending") | (g.ts > start + pd.Timedelta(seconds=900))].iloc[0].seq
+
+    parts = [J.prune_observations(p.reset_index(drop=True)) for p in (rows.iloc[:1000], rows.iloc[1000:2200], rows.iloc[2200:])]
+    kept = pd.concat(parts)
+    assert len(kept) < len(rows)
+    assert ({k: verdict(g) for k, g in kept.groupby("task_id")} == {k: verdict(g) for k, g in rows.groupby("task_id")})
+
+
 def test_stream_skip_done(spark, tmp_path):
     source, log = str(tmp_path / "tasks"), str(tmp_path / "log")
     for batch in (["a", "b"], ["b", "c"], ["a", "d"]):
