@@ -18,7 +18,8 @@ def skew_join(big: DataFrame, keyed: DataFrame, on: str, how: str = "left", spre
     The result is partitioned by key and salt, so a following aggregate by the key
     combines within tasks first.
     """
-    sizes = big.groupBy(on).agg(F.count("*").alias("_n"))
+    # One plan for the limit and both sides, so that its shuffle is run once and reused.
+    sizes = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
     limit = sizes.agg(F.sum("_n") / HOT_SHARE).scalar()
     hot = F.broadcast(sizes.where(F.col("_n") > limit).select(on, F.lit(True).alias("_hot")))
     columns = [f"`{c}`" for c, t in big.dtypes if "map<" not in t and "variant" not in t]
