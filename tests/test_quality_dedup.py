@@ -5,11 +5,11 @@ from rosterline.operators import dedup, quality, ranking
 from rosterline.operators.schema import PERSON, RecordSchema, apply_schema, missing_required, validate_records
 
 RECORDS = [
-    ("John Smith", "john@example.com", "Professor", "https://example.com/john"),
-    ("Jane Doe", "jane@example.com", "Engineer", "https://example.com/jane"),
-    ("John Smith", "john@example.com", "Professor", "https://example.com/john"),
-    ("Bob Johnson", "invalid-email", "", "https://example.com/bob"),
-    ("Alice Brown", "", "Manager", ""),
+    ("Ada King", "ada@mail.org", "Botanist", "https://dir.org/ada"),
+    ("Bea Long", "bea@mail.org", "Welder", "https://dir.org/bea"),
+    ("Ada King", "ada@mail.org", "Botanist", "https://dir.org/ada"),
+    ("Cyd Marsh", "no address", "", "https://dir.org/cyd"),
+    ("Dee Stone", "", "Baker", ""),
 ]
 COLS = "name string, email string, title string, page_url string"
 

@@ -95,7 +95,7 @@ def test_query_param_matches_urllib(spark):
 
 
 EMAIL_PY = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-TEXTS = ["Contact john@example.com or jane.doe@university.edu for info.", "éa@b.com", ".a@b.com", "a@b.comé", "x a@b.c",
+TEXTS = ["Write to ada@mail.org or bea.long@school.edu today.", "éa@b.com", ".a@b.com", "a@b.comé", "x a@b.c",
          "a@b.co|m", "a@b.com_ z@y.org", "", "no"]
 
 
@@ -130,15 +130,15 @@ def test_text_matches_python_random(spark):
 
 
 def test_clean_truncate_validate_names(spark):
-    assert run(spark, ["  Multiple   spaces\nand\tnewlines  ", None, "Éa ñ², x#"], lambda: text.clean_text("v")) == [
-        "Multiple spaces and newlines", "", "Éa ñ², x"]
+    assert run(spark, ["  Many   blanks\nand\tbreaks  ", None, "Éa ñ², x#"], lambda: text.clean_text("v")) == [
+        "Many blanks and breaks", "", "Éa ñ², x"]
     assert run(spark, ["abc", "abcdef"], lambda: text.truncate_text("v", 3)) == ["abc", "abc..."]
     values = ["user@example.com", "first.last@sub.domain.org", "invalid", "@example.com", "user@", "a@b.com\n"]
     assert run(spark, values, lambda: text.email_valid("v")) == [True, True, False, False, False, True]
-    parts = run(spark, ["John Smith", " John Q. Public Smith ", "Madonna", ""], lambda: text.name_parts("v"))
+    parts = run(spark, ["Ada King", " Ada Q. Mary King ", "Cyd", ""], lambda: text.name_parts("v"))
     assert [tuple(p) for p in parts] == [
-        ("John", "", "Smith", "John Smith"), ("John", "Q. Public", "Smith", " John Q. Public Smith "),
-        ("Madonna", "", "", "Madonna"), ("", "", "", "")]
+        ("Ada", "", "King", "Ada King"), ("Ada", "Q. Mary", "King", " Ada Q. Mary King "),
+        ("Cyd", "", "", "Cyd"), ("", "", "", "")]
 
 
 def test_record_id(spark):
