@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import embedding_dedup, minhash_dedup, packing, token_counts, warc, wordbpe
+from rosterline.llm import embedding_dedup, language_id, minhash_dedup, packing, pii, token_counts, warc, wordbpe
 from rosterline.session import ensure_checkpoint_dir
 
 
@@ -29,10 +29,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), wordbpe.default_path(), packing.Capacity(2048))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest_columns(pii.find(docs, pii.fit(docs)))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.Matching(words=3, numerator=85))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     folder = f"{ensure_checkpoint_dir(spark)}/rosterline-warc-{uuid.uuid4().hex}"
@@ -50,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_embedding_near_dedup, op4_best_fit_packing, op8_minhash_near_dedup, op10_warc)
+    f.__name__: f for f in (op1_token_counts, op2_embedding_near_dedup, op4_best_fit_packing, op5_pii, op8_minhash_near_dedup,
+                             op9_language_id, op10_warc)
 }
 SQL: dict[str, str] = {}
