@@ -6,17 +6,40 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterline.llm import minhash_dedup, packing, wordbpe
+from rosterline.llm import decontamination, language_id, minhash_dedup, packing, pii, wordbpe
+from rosterline.llm.common import store
 from rosterline.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known stay: those without a letter, and those far from every model, go."""
+    return language_id.known_languages(docs.select(COLUMNS))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the smallest id."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the smallest id.
+
+    Documents without words or id are in no group and stay; rows that repeat an id stay or go together.
+    """
+    gone = store(minhash_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ``benchmark`` go."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = store(found.where("doc_id is not null").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text is replaced by the name of its kind."""
+    out = pii.masked(docs.select(COLUMNS), pii.fit(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +48,14 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
     ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("pii", personal_data_masked),
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can express none of the stages after the first; tests hold each against brute force.
+#: SQL can't express the stages; tests hold each against brute force.
 ORACLE_SQL: str | None = None
 
 

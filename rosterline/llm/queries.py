@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import embedding_dedup, language_id, minhash_dedup, packing, pii, token_counts, warc, wordbpe
+from rosterline.llm import decontamination, embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, pii, substring_dedup, token_counts, warc, wordbpe
 from rosterline.session import ensure_checkpoint_dir
 
 
@@ -25,6 +25,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, *lm_scoring.train(docs.select("text")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), wordbpe.default_path(), packing.Capacity(2048))
 
@@ -34,6 +39,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find(docs, pii.fit(docs)))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.by_document(substring_dedup.repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.Matching(words=3, numerator=85))
 
@@ -63,7 +76,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_embedding_near_dedup, op4_best_fit_packing, op5_pii, op8_minhash_near_dedup,
+    f.__name__: f for f in (op1_token_counts, op2_embedding_near_dedup, op3_lm_scoring, op4_best_fit_packing, op5_pii, op6_decontamination,
+                             op7_substring_dedup, op8_minhash_near_dedup,
                              op9_language_id, op10_warc)
 }
 SQL: dict[str, str] = {}
