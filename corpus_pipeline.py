@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words or id are in no group and stay; rows that repeat an id stay or go together.
     """
     gone = store(minhash_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ class Matching:
 
 
 #: Word hashes kept per process; beyond them a word is hashed each time.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 class _Words(dict):
@@ -146,7 +146,8 @@ def near_duplicates(docs: DataFrame, matching: Matching = Matching(), doc_id: st
     clusters = store(components(matched))
     # Sets of clustered documents only; the ids of the texts whose set stands for all equal ones.
     wanted = clusters.select(F.col("node").alias("doc_id"), "root")
-    full = plain.where("doc_id is not null").join(wanted, "doc_id").select("doc_id", "root", "text")
+    # Alike at every size: texts meet the cluster list by a sort-merge join, once.
+    full = plain.where("doc_id is not null").join(wanted.hint("merge"), "doc_id").select("doc_id", "root", "text")
 
     def sets(batch: dict):
         hashed = [shingle_set(t, words) for t in batch["text"]]
