@@ -23,10 +23,16 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def process_object(key: str, make: Callable[[], object]) -> object:
-    """One object per Python process. Functions sent by value get new globals in every task, so it is kept in a module."""
+def process_object(key: str, make: Callable[[], object], grows: bool = False) -> object:
+    """One object per Python process. Functions sent by value get new globals in every task, so it is kept in a module.
+
+    Of the objects that grow (caches) a process keeps one; asking for another lets it go.
+    """
     held = sys.modules.setdefault("_rosterline_llm_objects", types.ModuleType("_rosterline_llm_objects")).__dict__
     if key not in held:
+        if grows:
+            held.pop(held.pop("growing", None), None)
+            held["growing"] = key
         held[key] = make()
     return held[key]
 
@@ -36,8 +42,9 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[name].alias(alias) for alias, name in names.items()])
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[dict] | None], schema: str) -> DataFrame:
-    """``fn`` gets the columns of an Arrow batch as lists and yields columns (lists or arrays) of output rows."""
+def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[dict] | None], schema: str,
+                rows: int = 1000) -> DataFrame:
+    """``fn`` gets the columns of at most ``rows`` rows of an Arrow batch as lists and yields columns of output rows."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,8 +52,9 @@ def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[dict] | None], sche
 
     def run(batches):
         for batch in batches:
-            for out in fn(batch.to_pydict()):
-                yield to_batch(out, target)
+            for lo in range(0, batch.num_rows, rows):
+                for out in fn(batch.slice(lo, rows).to_pydict()):
+                    yield to_batch(out, target)
 
     return df.mapInArrow(run, schema)
 

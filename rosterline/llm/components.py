@@ -27,7 +27,7 @@ def _thin(edges: DataFrame) -> DataFrame:
         nodes = [x for x in up if root(x) != x]
         yield {"a": nodes, "b": [root(x) for x in nodes]}
 
-    return map_batches(edges.select("a", "b"), run, "a long, b long")
+    return map_batches(edges.select("a", "b"), run, "a long, b long", rows=100_000)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -75,11 +75,12 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
         for t, name in zip(batch["text"], batch["lang"]):
             by_lang.setdefault(name, []).append(t)
         for name, texts in by_lang.items():
-            keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint32)] + [
-                grams(texts[lo:hi])[0] for lo, hi in _cut(texts)]), return_counts=True)
+            parts = [np.unique(grams(texts[lo:hi])[0], return_counts=True) for lo, hi in _cut(texts)]
+            keys, row = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(row, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
             yield {"lang": [name] * len(keys), "gram": keys.astype(np.int64), "n": counts}
 
-    return map_batches(known, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(known, run, "lang string, gram long, n long", rows=10_000).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass

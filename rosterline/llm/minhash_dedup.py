@@ -43,7 +43,7 @@ class Matching:
 
 
 #: Word hashes kept per process; beyond them a word is hashed each time.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class _Words(dict):
@@ -56,7 +56,7 @@ class _Words(dict):
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles (A-Z lower-cased; fewer words: the whole sequence as one)."""
-    cache = process_object("shingle words", _Words)
+    cache = process_object("shingle words", _Words, grows=True)
     parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not parts:
         return np.zeros(0, np.uint64)

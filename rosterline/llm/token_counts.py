@@ -27,7 +27,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
         lengths, counts = np.unique([len(encode(t)) for t in batch["text"]], return_counts=True)
         yield {"n_tokens": lengths, "n_docs": counts}
 
-    parts = map_batches(columns_as(docs, text=text), run, "n_tokens long, n_docs long")
+    parts = map_batches(columns_as(docs, text=text), run, "n_tokens long, n_docs long", rows=10_000)
     return parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

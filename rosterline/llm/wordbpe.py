@@ -17,7 +17,7 @@ import regex
 from rosterline.llm.common import process_object
 
 #: Chunks kept per process; beyond them a chunk is encoded each time.
-CACHE = 500_000
+CACHE = 150_000
 #: The pre-tokenizer's pattern (fixed value of the vocabulary).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Chunks whose normal form is known to be NFC and lower case; all others go through the library whole.
@@ -71,7 +71,7 @@ class Chunks(dict):
 
 def encoder(path: str) -> Callable[[str | None], np.ndarray]:
     """A function from text (None: empty) to the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
-    chunks = process_object(f"wordbpe {path}", lambda: Chunks(path))
+    chunks = process_object(f"wordbpe {path}", lambda: Chunks(path), grows=True)
 
     def ids(text: str | None) -> np.ndarray:
         if not text:
