@@ -148,10 +148,10 @@ def segments(text: str, region: Span) -> list[Segment]:
                 else:
                     digits = _digits(span)
                     parts = span.split(".")
-                    if len(parts) == 4 and all(p.isdigit() for p in parts):
-                        out.append(Segment(start, end, 1, _features(text, start, end, "ip", all(len(p) <= 3 and int(p) <= 255 for p in parts))))
-                    if 16 <= len(digits) <= 19 and not re.search("[+().]", span):
-                        out.append(Segment(start, end, 2, _features(text, start, end, "card", luhn(digits))))
+                    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
+                        out.append(Segment(start, end, 1, _features(text, start, end, "ip", True)))
+                    if 16 <= len(digits) <= 19 and not re.search("[+().]", span) and luhn(digits):
+                        out.append(Segment(start, end, 2, _features(text, start, end, "card", True)))
                     if 8 <= len(digits) <= 15:
                         out.append(Segment(start, end, 3, _features(text, start, end, "phone", first == "+")))
             if named and len(AT.findall(span)) == 1:
@@ -268,8 +268,12 @@ def fit(docs: DataFrame, sample: int = 400, doc_id: str = "doc_id", text: str =
     """Weights from a bounded sample: of the texts of at most ``longest`` characters that hold a hint, the ``sample`` rows of
     smallest id hash. An empty sample gives a field that adds nothing."""
     rows = columns_as(docs, doc_id=doc_id, text=text).where(F.col("text").rlike("@|[0-9]{3}") & (F.length("text") <= longest))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "text").limit(sample).select("text")
-    return train([r.text for r in rows.collect()])
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    # Hashes alone are ordered; texts are fetched once it is known which.
+    cut = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if cut is None:
+        return train([])
+    return train([r.text for r in rows.where(F.col("h") <= cut).dropDuplicates(["h"]).select("h", "text").orderBy("h").collect()])
 
 
 def find(docs: DataFrame, weights: np.ndarray, text: str = "text", margin: float = 2.0) -> DataFrame:
