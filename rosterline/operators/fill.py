@@ -74,10 +74,11 @@ def llm_records(
     return call_budget(parsed, budget, order).withColumn("answer", F.map_concat(rest, own)).drop(response)
 
 
-def hybrid_fill(records: DataFrame, answers: DataFrame, on: str, schema: RecordSchema) -> DataFrame:
-    """Fill missing required fields from ``answers`` (``on``, ``answer``), one answer per key.
+def hybrid_fill(records: DataFrame, answers: DataFrame, on: str, schema: RecordSchema, order: str | None = None) -> DataFrame:
+    """Fill missing required fields from ``answers`` (``on``, ``answer``), giving one record per record.
 
-    Only records with a gap take part in the join; complete ones pass by it.
+    Of several answers for a key the first by ``order`` (else by content) that offers a required value is used. Only
+    records with a gap take part in the join; complete ones pass by it.
     """
     types = column_types(records)
     required = [f.name for f in schema.fields if f.required]
@@ -92,7 +93,10 @@ def hybrid_fill(records: DataFrame, answers: DataFrame, on: str, schema: RecordS
         return F.when(present(have, kind), have).otherwise(F.coalesce(offer, have)).alias(name)
 
     extra = [n for n in required if n not in columns]
-    joined = records.where(gaps).join(answers.select(on, "answer"), on, "left").select(
+    offers = F.exists(F.array(*[F.lit(n) for n in required]), lambda n: present(F.col("answer")[n]))
+    first = F.struct(*([order] if order else []), F.to_json("answer"))
+    single = answers.where(offers).groupBy(on).agg(F.min_by("answer", first).alias("answer"))
+    joined = records.where(gaps).join(single, on, "left").select(
         *[filled(c) if c in required else F.col(f"`{c}`") for c in columns], *[filled(n) for n in extra])
     whole = records.where(~gaps).withColumns({n: F.lit(None).cast("string") for n in extra})
     return joined.unionByName(whole)

@@ -12,10 +12,6 @@ from rosterline.functions.urls import url_registered_domain
 from rosterline.operators.skew import skew_join
 
 
-# Substring matching compares every hint with every distinct target, so both stay countable.
-MAX_HINTS = 10_000
-
-
 @dataclass(frozen=True)
 class SiteHints:
     domain: str
@@ -46,19 +42,28 @@ def hinted(
     return default if chain is None else chain.otherwise(default)
 
 
+def _parts(df: DataFrame, text: str, other: DataFrame, other_text: str) -> DataFrame:
+    """``df`` once per distinct substring (``_part``) of ``text`` that is as long as some ``other_text``."""
+    lengths = other.agg(F.collect_set(F.length(other_text)).alias("_lengths"))  # one row, one entry per length of a name
+    size = F.length(text)
+    parts = F.flatten(F.transform(
+        F.filter("_lengths", lambda n: (n > 0) & (n <= size)),
+        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col(text), at, n))))
+    return df.crossJoin(F.broadcast(lengths)).withColumn("_part", F.explode(F.array_distinct(parts))).drop("_lengths")
+
+
 def hints_lookup(targets: DataFrame, hints: DataFrame, target: str = "target") -> DataFrame:
     """Add ``hint``: the first hint row (by ``ord``) whose ``domain`` matches, else null.
 
-    Hints are site settings; their number is checked before they are broadcast. They are
-    matched against the *distinct* targets, so the input itself only takes part in an
-    equi join.
+    "Contains" is an equi join here: the distinct targets' substrings of the lengths that domains have meet the domains,
+    and the other way round, so any number of hints will do.
     """
-    if hints.limit(MAX_HINTS + 1).count() > MAX_HINTS:
-        raise ValueError(f"more than {MAX_HINTS} site hints; match such a table by equal domains instead")
     packed = hints.select(F.col("ord"), F.col("domain").alias("_domain"), F.struct(*hints.columns).alias("hint"))
     names = targets.select(target).where(F.col(target).isNotNull()).distinct()
-    matched = (
-        names.join(F.broadcast(packed), domain_matches(F.col("_domain"), F.col(target)))
-        .groupBy(target).agg(F.min_by("hint", "ord").alias("hint"))
-    )
-    return skew_join(targets, matched, target)
+    within = _parts(names, target, packed, "_domain").join(packed, F.col("_part") == F.col("_domain")).select(target, "ord", "hint")
+    around = _parts(packed, "_domain", names, target).join(names, F.col("_part") == F.col(target)).select(target, "ord", "hint")
+    empty = names.where(F.col(target) == "").crossJoin(F.broadcast(packed.agg(F.min("ord").alias("ord"), F.min_by("hint", "ord").alias("hint"))))
+    blank = packed.where("_domain = ''").agg(F.min("ord").alias("ord"), F.min_by("hint", "ord").alias("hint")).where("ord is not null")
+    everywhere = names.crossJoin(F.broadcast(blank))
+    found = within.unionByName(around).unionByName(empty.where("ord is not null")).unionByName(everywhere)
+    return skew_join(targets, found.groupBy(target).agg(F.min_by("hint", "ord").alias("hint")), target)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from rosterline.session import materialize
 
-# Up to this many rows a cut goes through Spark's per-partition top-n.
-SMALL_CUT = 10_000
 _ROW_BITS = 33
 
 
@@ -46,9 +44,7 @@ def with_global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank
 
 
 def first_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    """The first ``n`` rows of a total order."""
-    if n <= SMALL_CUT:
-        return df.orderBy(*order).limit(n)
+    """The first ``n`` rows of a total order, by position, whatever ``n`` is."""
     return with_global_rank(df, order, "_rank").where(F.col("_rank") < n).drop("_rank")
 
 

@@ -22,8 +22,8 @@ def skew_join(big: DataFrame, keyed: DataFrame, on: str, how: str = "left", spre
     sizes = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
     limit = sizes.agg(F.sum("_n") / HOT_SHARE).scalar()
     hot = F.broadcast(sizes.where(F.col("_n") > limit).select(on, F.lit(True).alias("_hot")))
-    columns = [f"`{c}`" for c, t in big.dtypes if "map<" not in t and "variant" not in t]
-    salt = F.pmod(F.xxhash64(*columns), F.lit(spread)).cast("int")
+    # A row's own number, so that equal rows of a hot key spread too.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")
     # Null keys match nothing, but would all meet in one task.
     spread_out = F.col("_hot") | F.col(on).isNull()
     left = big.join(hot, on, "left").withColumn("_salt", F.when(spread_out, salt).otherwise(0)).drop("_hot")

@@ -61,7 +61,7 @@ class Crawl:
 def page_facts(pages: DataFrame, hints: list[SiteHints] | None = None) -> DataFrame:
     """One compact row per task id: cards, links, pager candidates and detail fields; URLs still relative."""
     page, url = Page(), F.col("url")
-    dom = with_dom(as_pages(pages))
+    dom = with_dom(as_pages(pages).where("status < 400"))  # an error page is a failed fetch
     structural = (
         F.when(paging._rel_next(page).isNotNull(), paging.NEXT_LINK)
         .when(paging.has_numbered(page), paging.NUMBERED)
@@ -80,7 +80,8 @@ def page_facts(pages: DataFrame, hints: list[SiteHints] | None = None) -> DataFr
     # An empty page URL marks "the page's own", which is known only once it is visited.
     facts = resolve_all_fields(links.withColumn("_own", F.lit(BLANK)), *kept, url="_own")
     packed = facts.select(*kept, F.struct(*FIELDS).alias("detail"))
-    return top_k(packed, ["task_id"], ["url"], 1)
+    # Of several stored versions of a URL one is kept, by content, whatever their order.
+    return top_k(packed, ["task_id"], ["url", F.xxhash64("cards", "detail", "detail_hrefs", "next_hrefs")], 1)
 
 
 def join_frontier(frontier: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:

@@ -19,8 +19,8 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def as_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(task_id, url, html, status) of any table with a URL and its HTML; other columns are not read."""
-    status = F.col("status").cast("int") if "status" in df.columns else F.lit(200)
+    """(task_id, url, html, status) of any table with a URL and its HTML; a page stored without a status counts as 200."""
+    status = F.coalesce(F.col("status").cast("int"), F.lit(200)) if "status" in df.columns else F.lit(200)
     return df.select(task_id(url).alias("task_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                      status.alias("status"))
 

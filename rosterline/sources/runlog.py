@@ -58,7 +58,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     schema = "timestamp timestamp, kind string, key string, meta_json string, run_id string"
     try:
         return spark.read.schema(schema).parquet(path).select(*EVENT_COLUMNS)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema).select(*EVENT_COLUMNS)
 
 

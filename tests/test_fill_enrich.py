@@ -148,3 +148,19 @@ def test_skew_join_spreads_hot_keys_and_keeps_all_rows(spark):
     got = skew_join(big, small, "k")
     plain = big.join(small, "k", "left")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_several_answers_give_one_record_and_unlisted_keys_stay(spark):
+    from rosterline.operators import enrich, fill, skew
+    from rosterline.operators.schema import RecordSchema
+
+    records = spark.createDataFrame([(1, None), (2, "B")], "k int, name string")
+    answers = spark.createDataFrame([(1, {"name": ""}), (1, {"name": "Z"}), (1, {"name": "A"})], "k int, answer map<string,string>")
+    filled = fill.hybrid_fill(records, answers, "k", RecordSchema.of({"name": "str"}))
+    assert sorted((r.k, r.name) for r in filled.collect()) == [(1, "A"), (2, "B")]
+    results = spark.createDataFrame([(True, {"phone": "1", "github": "g"}, "0"), (False, {"github": "h"}, "2")], "success boolean, enriched map<string,string>, phone string")
+    rows = enrich.enrich_apply(results.withColumn("fields", F.lit(None))).collect()
+    assert [(r.phone, r.enriched_more) for r in rows] == [("1", {"github": "g"}), ("2", None)]
+    equal = spark.range(20_000).select(F.lit(7).alias("k"), F.lit("same").alias("v")).repartition(4)
+    joined = skew.skew_join(equal, spark.createDataFrame([(7, "x")], "k int, w string"), "k")
+    assert joined.count() == 20_000 and joined.where("w = 'x'").count() == 20_000

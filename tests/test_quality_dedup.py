@@ -76,11 +76,10 @@ def test_dedup_record_id(spark):
     assert sorted(r.seq for r in dedup.dedup_record_id(df, prefer="confidence").collect()) == [1, 2]
 
 
-def test_ranks_and_cuts(spark, monkeypatch):
+def test_ranks_and_cuts(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(5)
     ranked = ranking.with_global_rank(df, ["k"]).collect()
     assert sorted((r.k, r["rank"]) for r in ranked) == [(i, i) for i in range(1000)]
-    monkeypatch.setattr(ranking, "SMALL_CUT", 5)
     assert sorted(r.k for r in ranking.first_n(df, ["k"], 20).collect()) == list(range(20))
     small, large = ranking.sample_n(df, 5, ["k"], 3).collect(), ranking.sample_n(df, 6, ["k"], 3).collect()
     assert len(small) == 5 and {r.k for r in small} < {r.k for r in large}
