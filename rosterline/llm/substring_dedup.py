@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import columns_as, map_batches, process_object
+from rosterline.llm.common import columns_as, map_batches, process_object, store
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,8 @@ def repeated_passages(docs: DataFrame, chunking: Chunking = Chunking(), doc_id:
     """
     found = chunks(docs, chunking, doc_id, text)
     shared = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    shared = shared.where("first_doc <> last_doc").select("digest", "first_doc")
+    # Stored, so that both sides of the join below are plain exchanges, which Spark splits at hot digests.
+    shared = store(shared.where("first_doc <> last_doc").select("digest", "first_doc"))
     rows = chunks(docs, chunking, doc_id, text).join(shared, "digest")
     rows = rows.select("doc_id", "pos", "start", (F.col("start") + F.col("length")).alias("end"), (F.col("doc_id") > F.col("first_doc")).alias("again"))
     rows = rows.dropDuplicates(["doc_id", "pos", "start"])
