@@ -1,8 +1,8 @@
 """A directory site rendered from customer and nation: list pages, profile pages, crawls.
 
 Each nation is a site section. Its list page number p shows the customers whose key
-falls in the p-th block of 250 and links to pages 2p and 2p+1. Every tenth profile is
-missing. What a crawl must find follows from the tables, which gives the SQL.
+falls in the p-th block of 250 and links to pages 2p and 2p+1. A crawl finds every tenth
+profile missing. What a crawl must find follows from the tables, which gives the SQL.
 """
 
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ MEMBERS_SQL = """
 BIO_SQL = "name || ' works in the ' || org || ' department of ' || place || ' and has done so for many years.'"
 LISTS_SQL = """
     lists AS (SELECT DISTINCT n, place, p, 'https://dir.example.org/nation/' || n || '?page=' || p AS url FROM m)"""
-DETAIL = f"WITH {MEMBERS_SQL}, d AS (SELECT *, {BIO_SQL} AS bio FROM m WHERE stored) "
+DETAIL = f"WITH {MEMBERS_SQL}, d AS (SELECT *, {BIO_SQL} AS bio FROM m) "
 LISTED = f"WITH {MEMBERS_SQL}, {LISTS_SQL} "
 
 
@@ -45,7 +45,7 @@ def members(spark, d):
 
 
 def detail_pages(spark, d):
-    """url, html of every stored profile."""
+    """url, html of every customer's profile."""
     html = F.format_string(
         '<html><head><title>%1$s</title><meta name="x" content="y"></head><body><main><h1>%1$s</h1>\n'
         '<p class="title">%2$s</p>\n<p class="department">%3$s</p>\n<p class="location">%4$s</p>\n'
@@ -53,8 +53,12 @@ def detail_pages(spark, d):
         '<p><b>Call:</b> <a href="tel:%6$s">%6$s</a></p></div>\n<div class="biography"><p>'
         "%1$s works in the %3$s department of %4$s and has done so for many years.</p></div></main></body></html>",
         "name", "title", "org", "place", "email", "phone")
-    return members(spark, d).where("id % 10 <> 0").select(
-        F.concat(F.lit(f"{SITE}/people/"), "id").alias("url"), html.alias("html"))
+    return members(spark, d).select(F.concat(F.lit(f"{SITE}/people/"), "id").alias("url"), html.alias("html"))
+
+
+def fetched_details(spark, d):
+    """Profiles a crawl can meet: links to keys that end in 0 are dead."""
+    return detail_pages(spark, d).where("url NOT LIKE '%0'")
 
 
 def list_pages(spark, d):
@@ -78,7 +82,7 @@ def list_pages(spark, d):
 
 
 def site(spark, d):
-    return list_pages(spark, d).unionByName(detail_pages(spark, d))
+    return list_pages(spark, d).unionByName(fetched_details(spark, d))
 
 
 def starts(spark, d):
@@ -297,23 +301,23 @@ def crawl_output(spark, d):
 @query("run_stats", f"""{REACH_SQL}, {VISITED_SQL},
     broken AS (SELECT n, count(*) AS k FROM listed WHERE NOT stored GROUP BY n
         UNION ALL SELECT r.n, count(*) FROM reach r, (SELECT unnest([0, 1]) AS k) q
-        WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.n = r.n AND l.p = 2 * r.p + q.k) GROUP BY r.n)
-    SELECT crawl_id, (SELECT count(*) FROM visited v WHERE v.n = crawl.n) AS pages_fetched,
-        (SELECT coalesce(sum(k), 0)::BIGINT FROM broken b WHERE b.n = crawl.n) AS pages_failed,
-        (SELECT count(*) FROM listed l WHERE l.n = crawl.n) AS records_extracted,
-        (SELECT count(*) FROM listed l WHERE l.n = crawl.n) AS records_valid FROM crawl""")
+        WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.n = r.n AND l.p = 2 * r.p + q.k) GROUP BY r.n),
+    begun AS (SELECT n_nationkey AS n, 'https://dir.example.org/nation/' || n_nationkey || '?page=1' AS crawl_id FROM nation)
+    SELECT crawl_id, (SELECT count(*) FROM visited v WHERE v.n = begun.n) AS pages_fetched,
+        CASE WHEN n IN (SELECT n FROM reach) THEN (SELECT coalesce(sum(k), 0)::BIGINT FROM broken b WHERE b.n = begun.n)
+            ELSE 1 END AS pages_failed,
+        (SELECT count(*) FROM listed l WHERE l.n = begun.n) AS records_extracted,
+        (SELECT count(*) FROM listed l WHERE l.n = begun.n) AS records_valid FROM begun""")
 def run_stats(spark, d):
     run = crawls.crawl_replay(site(spark, d), starts(spark, d))
     records = crawls.crawl_records(run)
-    stats = crawls.run_stats(run, records, crawls.crawl_output(records))
-    # Sections without any page take part as failed starts; the SQL lists sections that have pages.
-    return stats.where("pages_fetched > 0").drop("start_url", "error")
+    return crawls.run_stats(run, records, crawls.crawl_output(records)).drop("start_url", "error")
 
 
 @query("frontier_pages", f"WITH {MEMBERS_SQL} SELECT url, stored AS found FROM m")
 def frontier_pages(spark, d):
     frontier = members(spark, d).select(F.concat(F.lit(f"{SITE}/people/"), "id").alias("url"))
-    stored = as_pages(detail_pages(spark, d)).select("task_id", "status")
+    stored = as_pages(fetched_details(spark, d)).select("task_id", "status")
     keyed = frontier.withColumn("task_id", crawls.task_id("url"))
     return crawls.join_frontier(keyed, stored).select("url", F.col("status").isNotNull().alias("found"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +17,47 @@ from rosterline.functions.text import clean_text, let, py_strip
 Predicate = Callable[[Column], Column]
 
 _SIMPLE = re.compile(
-    r"""\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$]?=)\s*(?P<q>["']?)(?P<value>.*?)(?P=q)\s*)?\]"""
+    r"""\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~|]?=)\s*(?P<q>["']?)(?P<value>.*?)(?P=q)\s*)?\]"""
     r"""|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
-    r"""|:contains\(\s*(?P<cq>["']?)(?P<needle>.*?)(?P=cq)\s*\)|(?P<tag>\*|[A-Za-z][\w-]*)"""
+    r"""|:contains\(\s*(?P<cq>["']?)(?P<needle>.*?)(?P=cq)\s*\)|:not\(\s*(?P<inner>(?:\[[^\]]*\]|[^()\[\]])+?)\s*\)"""
+    r"""|:nth-child\(\s*(?P<nth>odd|even|[+-]?\d*n(?:\s*[+-]\s*\d+)?|[+-]?\d+)\s*\)|:(?P<edge>first|last)-child(?![\w-])"""
+    r"""|(?P<tag>\*|[A-Za-z][\w-]*)"""
 )
-_COMPOUND = re.compile(r"""(?:\[[^\]]*\]|\([^)]*\)|[^\s,\[\(])+|,""")
+_LINK = re.compile(r"\s*([>+~,])\s*|\s+")
+
+
+def parse_selector(selector: str) -> list[list[tuple[str, list[re.Match]]]]:
+    """Alternatives, each a chain of (link to the compound before, simple selectors); what isn't known raises."""
+    chains: list[list[tuple[str, list[re.Match]]]] = [[]]
+    link, at, text = "", 0, selector.strip()
+    while at < len(text):
+        between, simple = _LINK.match(text, at), _SIMPLE.match(text, at)
+        if between and (link or not chains[-1]) or not between and not simple:
+            raise ValueError(f"unsupported selector at {text[at:]!r}: {selector}")
+        if between and between[1] == ",":
+            chains.append([])
+        elif between:
+            link = between[1] or " "
+        elif link or not chains[-1]:
+            chains[-1].append((link, [simple]))
+            link = ""
+        elif simple["tag"]:
+            raise ValueError(f"a tag must come first: {selector}")
+        else:
+            chains[-1][-1][1].append(simple)
+        at = (between or simple).end()
+    if link or not all(chains):
+        raise ValueError(f"incomplete selector: {selector!r}")
+    return chains
+
+
+def _nth(formula: str) -> tuple[int, int]:
+    """``a`` and ``b`` of an+b."""
+    formula = {"odd": "2n+1", "even": "2n"}.get(formula, re.sub(r"\s", "", formula))
+    if "n" not in formula:
+        return 0, int(formula)
+    a, b = formula.split("n")
+    return int(a + "1" if a in ("", "+", "-") else a), int(b or 0)
 
 
 def attr(node: Column, name: str) -> Column:
@@ -27,9 +65,18 @@ def attr(node: Column, name: str) -> Column:
     return F.coalesce(node["attrs"][name], F.lit(""))
 
 
-def _inside(outer: Column, holds: Predicate) -> Predicate:
-    """Holds and is a descendant of one of ``outer``."""
-    return lambda n: holds(n) & F.exists(outer, lambda o: (n["id"] > o["id"]) & (n["id"] <= o["last"]))
+# How a node lies to one before it in the chain. The element after a whole subtree is the next sibling if the parent is the same.
+LINKS: dict[str, Callable[[Column, Column], Column]] = {
+    " ": lambda n, o: (n["id"] > o["id"]) & (n["id"] <= o["last"]),
+    ">": lambda n, o: n["parent"] == o["id"],
+    "+": lambda n, o: (n["parent"] == o["parent"]) & (n["id"] == o["last"] + 1),
+    "~": lambda n, o: (n["parent"] == o["parent"]) & (n["id"] > o["id"]),
+}
+
+
+def _linked(before: Column, link: str, holds: Predicate) -> Predicate:
+    """Holds and lies to one of ``before`` as ``link`` says."""
+    return lambda n: holds(n) & F.exists(before, lambda o: LINKS[link](n, o))
 
 
 @dataclass(frozen=True)
@@ -64,9 +111,31 @@ class Scope:
         inside = F.slice(self.page_nodes, node["id"] + 2, node["last"] - node["id"])
         return Scope(self.text, inside, self.page_nodes)
 
-    def _compound(self, selector: str) -> tuple[Predicate, Column]:
+    def _place(self, node: Column) -> Column:
+        """Position among the elements of the same parent, from 1."""
+        until = F.slice(self.page_nodes, node["parent"] + 2, node["id"] - node["parent"])
+        return F.size(F.filter(until, lambda s: s["parent"] == node["parent"]))
+
+    def _is_last(self, node: Column) -> Column:
+        return node["last"] == F.coalesce(self.parent_of(node)["last"], F.size(self.page_nodes) - 1)
+
+    def _at(self, node: Column, a: int, b: int) -> Column:
+        """Is the an+b-th child for some n from 0."""
+        off = self._place(node) - b
+        return off == 0 if a == 0 else (off % a == 0) & (off * (1 if a > 0 else -1) >= 0)
+
+    def _without(self, selector: str) -> Predicate:
+        """None of the compounds of the list holds."""
+        compounds = []
+        for chain in parse_selector(selector):
+            if len(chain) > 1:
+                raise ValueError(f":not() takes compounds only: {selector}")
+            compounds.append(self._compound(chain[0][1])[0])
+        return lambda n: ~reduce(or_, [holds(n) for holds in compounds])
+
+    def _compound(self, simples: list[re.Match]) -> tuple[Predicate, Column]:
         tag, attrs, tests = None, set(), []
-        for m in _SIMPLE.finditer(selector):
+        for m in simples:
             if m["tag"]:
                 tag = m["tag"]
                 if tag != "*":
@@ -86,8 +155,17 @@ class Scope:
                     "*=": lambda n, a=name, v=value: attr(n, a).contains(v),
                     "^=": lambda n, a=name, v=value: attr(n, a).startswith(v),
                     "$=": lambda n, a=name, v=value: attr(n, a).endswith(v),
+                    "~=": lambda n, a=name, v=value: F.lit(v != "") & F.array_contains(F.split(attr(n, a), r"\s+"), v),
+                    "|=": lambda n, a=name, v=value: (n["attrs"][a].isNotNull()) & (
+                        (attr(n, a) == v) | attr(n, a).startswith(v + "-")),
                 }[op]
                 tests.append(test)
+            elif m["inner"]:
+                tests.append(self._without(m["inner"]))
+            elif m["nth"]:
+                tests.append(lambda n, ab=_nth(m["nth"]): self._at(n, *ab))
+            elif m["edge"]:
+                tests.append((lambda n: n["id"] == n["parent"] + 1) if m["edge"] == "first" else self._is_last)
             else:
                 tests.append(lambda n, v=m["needle"]: self.text_of(n).contains(v))
 
@@ -102,22 +180,16 @@ class Scope:
     def select(self, selector: str) -> Column:
         """All nodes matching a CSS selector, in document order.
 
-        Known forms: tag, ``*``, ``.class``, ``#id``, ``[attr]`` with ``= *= ^= $=``,
-        ``:contains()``, compounds of these, descendants (blank) and alternatives (comma).
+        Known forms: tag, ``*``, ``.class``, ``#id``, ``[attr]`` with ``= *= ^= $= ~= |=``,
+        ``:contains()``, ``:not()``, ``:first-child``, ``:last-child``, ``:nth-child()``, compounds
+        of these, descendants (blank), ``>``, ``+``, ``~`` and alternatives (comma); others raise.
         """
-        groups: list[list[str]] = [[]]
-        for token in _COMPOUND.findall(selector):
-            if token == ",":
-                groups.append([])
-            else:
-                groups[-1].append(token)
         found = []
-        for group in groups:
-            holds, pool = self._compound(group[0])
-            matched = F.filter(pool, holds)
-            for compound in group[1:]:
-                holds, pool = self._compound(compound)
-                matched = F.filter(pool, _inside(matched, holds))
+        for chain in parse_selector(selector):
+            matched = None
+            for link, simples in chain:
+                holds, pool = self._compound(simples)
+                matched = F.filter(pool, _linked(matched, link, holds) if link else holds)
             found.append(matched)
         if len(found) == 1:
             return found[0]

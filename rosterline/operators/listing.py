@@ -22,7 +22,6 @@ JOB_WORDS = [
     "professor", "researcher", "engineer", "scientist", "manager", "director", "phd", "dr.", "assistant", "associate",
 ]
 MIN_SCORE = 2
-DETAIL_LINK_LIMIT = 50
 CARD_LINK = r"(?i)/(people|person|profile|faculty)/"
 DETAIL_LINK = r"(?i)/(people|person|profile|faculty|staff|member)/"
 

@@ -8,7 +8,6 @@ a parallel sort; no crawl is gathered in one task, whatever its share of the pag
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -38,9 +37,8 @@ MERGE_EVERY = 8
 @dataclass(frozen=True)
 class CrawlOptions:
     max_pages: int | None = None
-    max_runtime: float | None = None
     force: bool = False
-    detail_limit: int = listing.DETAIL_LINK_LIMIT
+    detail_limit: int | None = None
     hints: list[SiteHints] = field(default_factory=list)
     user_agent: str = "*"
     prefer: str | None = None
@@ -61,7 +59,8 @@ class Crawl:
 def page_facts(pages: DataFrame, hints: list[SiteHints] | None = None) -> DataFrame:
     """One compact row per task id: cards, links, pager candidates and detail fields; URLs still relative."""
     page, url = Page(), F.col("url")
-    dom = with_dom(as_pages(pages).where("status < 400"))  # an error page is a failed fetch
+    # An error page is a failed fetch: it isn't parsed, but as the latest version of its URL it wins.
+    dom = with_dom(as_pages(pages).withColumn("html", F.when(F.col("status") < 400, F.col("html")).otherwise(BLANK)))
     structural = (
         F.when(paging._rel_next(page).isNotNull(), paging.NEXT_LINK)
         .when(paging.has_numbered(page), paging.NUMBERED)
@@ -75,13 +74,15 @@ def page_facts(pages: DataFrame, hints: list[SiteHints] | None = None) -> DataFr
         "numbered_hrefs": paging.numbered_hrefs(page),
         "cursor_hrefs": paging.cursor_hrefs(page),
     }).withColumn("cards", listing.card_records(page, F.col("_cards")))
-    kept = ["task_id", "url", "status", "cards", "detail_hrefs", "strategy", "next_hrefs", "numbered_hrefs",
+    kept = ["task_id", "url", "status", "fetched_at", "cards", "detail_hrefs", "strategy", "next_hrefs", "numbered_hrefs",
             "cursor_hrefs"]
     # An empty page URL marks "the page's own", which is known only once it is visited.
     facts = resolve_all_fields(links.withColumn("_own", F.lit(BLANK)), *kept, url="_own")
     packed = facts.select(*kept, F.struct(*FIELDS).alias("detail"))
-    # Of several stored versions of a URL one is kept, by content, whatever their order.
-    return top_k(packed, ["task_id"], ["url", F.xxhash64("cards", "detail", "detail_hrefs", "next_hrefs")], 1)
+    # Of several stored versions of a URL the latest is kept; without times one by content, whatever their order.
+    latest = [F.col("fetched_at").desc_nulls_last(), "url",
+              F.xxhash64("cards", "detail", "detail_hrefs", "next_hrefs", "numbered_hrefs", "cursor_hrefs")]
+    return top_k(packed, ["task_id"], latest, 1).where("status < 400").drop("fetched_at")
 
 
 def join_frontier(frontier: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
@@ -161,13 +162,15 @@ def _claims(candidates: DataFrame, contested: bool) -> DataFrame:
 def _level_columns(options: CrawlOptions) -> dict[str, Column]:
     """The expressions every level uses, built once per replay."""
     details = listing.absolute(F.col("detail_hrefs"), F.col("url"))
+    if options.detail_limit is not None:
+        details = F.slice(details, 1, options.detail_limit)
     hrefs = (
         F.when(F.col("used") == paging.NEXT_LINK, F.col("next_hrefs"))
         .when(F.col("used") == paging.NUMBERED, F.col("numbered_hrefs"))
         .when(F.col("used") == paging.CURSOR, F.col("cursor_hrefs"))
     )
     return {
-        "details": F.posexplode(F.slice(details, 1, options.detail_limit)).alias("ord", "next_url"),
+        "details": F.posexplode(details).alias("ord", "next_url"),
         "used": F.coalesce(
             F.col("strategy"), F.when(has_cursor_param("start_url"), paging.CURSOR).otherwise(paging.NONE)),
         "nexts": F.posexplode(paging.candidate_urls(hrefs, F.col("start_url"), F.col("used"))).alias("ord", "next_url"),
@@ -204,7 +207,6 @@ def crawl_replay(
     to further list pages.
     """
     options = options or CrawlOptions()
-    clock = time.monotonic()
     if "crawl_id" not in starts.columns:
         starts = starts.withColumn("crawl_id", F.col("start_url"))
     starts = starts.select("crawl_id", "start_url")
@@ -239,8 +241,6 @@ def crawl_replay(
             missing = _one_per_task(before, options.force).join(known, "task_id", "left_anti")
         failed.add(missing.groupBy("crawl_id").agg(F.sum("n").alias("pages_failed")))
         visited.add(found)
-        if options.max_runtime and time.monotonic() - clock > options.max_runtime:
-            break
         lists = found.where("depth = 0")
         if stops is not None:
             lists = lists.join(stops, "crawl_id", "left_anti")

@@ -19,15 +19,19 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def as_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(task_id, url, html, status) of any table with a URL and its HTML; a page stored without a status counts as 200."""
+    """(task_id, url, html, status, fetched_at) of any table with a URL and its HTML.
+
+    A page stored without a status counts as 200; ``fetched_at`` is null where it isn't stored.
+    """
     status = F.coalesce(F.col("status").cast("int"), F.lit(200)) if "status" in df.columns else F.lit(200)
+    fetched = (F.col("fetched_at") if "fetched_at" in df.columns else F.lit(None)).cast("timestamp")
     return df.select(task_id(url).alias("task_id"), F.col(url).alias("url"), F.col(html).alias("html"),
-                     status.alias("status"))
+                     status.alias("status"), fetched.alias("fetched_at"))
 
 
 def scan_pages(spark: SparkSession, path: str, url: str = "url", html: str = "html") -> DataFrame:
     stored = spark.read.parquet(path)
-    columns = [c for c in (url, html, "status") if c in stored.columns]
+    columns = [c for c in (url, html, "status", "fetched_at") if c in stored.columns]
     return as_pages(spread(stored.select(*columns)), url, html)
 
 

@@ -98,3 +98,22 @@ def test_hints_fill_and_robots(spark, pages):
     assert stats == {f"{BASE}/people": (3, None), f"{BASE}/private/x": (0, "Disallowed by robots.txt")}
     details = C.detail_page_records(run.visited, run.facts, options.fill).collect()
     assert {r.org for r in details} == {"Filled"} and {r.extraction_method for r in details} == {"hybrid"}
+
+
+def test_long_chain_many_links_and_versions(spark):
+    many = [(f"p{i}", f"Person Number{i}") for i in range(70)]
+    chain = {f"{BASE}/people?page={i}": lister([], f'<a rel="next" href="/people?page={i + 1}">Next</a>') for i in range(2, 7)}
+    stored = [(f"{BASE}/people", lister(many, '<a rel="next" href="/people?page=2">Next</a>'), None, None)]
+    stored += [(u, h, 200, "2024-01-02") for u, h in chain.items()]
+    stored += [(f"{BASE}/people/p0", profile("Old Name"), 200, "2024-01-01"), (f"{BASE}/people/p0", profile("New Name"), 200, "2024-01-03"),
+               (f"{BASE}/people/p0", "moved", 404, "2024-01-02"), (f"{BASE}/people/p1", profile("Was There"), 200, "2024-01-01"),
+               (f"{BASE}/people/p1", "gone", 404, "2024-01-02"), (f"{BASE}/people/p69", profile("Last One"), 200, None)]
+    pages = spark.createDataFrame(stored, "url string, html string, status int, fetched_at string")
+    run = C.crawl_replay(pages, starts(spark))
+    urls = walk(run)
+    assert [u for u in urls if "people/" not in u] == ["/people"] + [f"/people?page={i}" for i in range(2, 7)]
+    assert [u for u in urls if "people/" in u] == ["/people/p0", "/people/p69"]
+    names = {r.name for r in C.detail_page_records(run.visited, run.facts).collect()}
+    assert names == {"New Name", "Last One"}
+    stats = C.run_stats(run, C.crawl_records(run), C.crawl_records(run)).first()
+    assert (stats.pages_fetched, stats.pages_failed) == (8, 69)  # 68 profiles and the page after the last

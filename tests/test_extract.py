@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterline.functions.html import build_tree
-from rosterline.functions.nodes import Page, with_dom
+from rosterline.functions.nodes import Page, parse_selector, with_dom
 from rosterline.operators import extract as X
 from rosterline.operators.schema import PERSON, RecordSchema
 
@@ -68,6 +68,28 @@ def test_selectors(spark):
         assert expected is None or got == expected, selector
 
 
+
+def test_selector_links_and_places(spark):
+    html = ('<ul class="x y"><li class="one two" lang="en-GB">a</li><li>b<i>deep</i></li><li class="x">c</li><li>d</li>'
+            '<li lang="en">e</li></ul><div><i>f</i><p><i>g</i></p></div>')
+    df = with_dom(spark.createDataFrame([(html,)], "html string"))
+    cases = {"div > i": ["f"], "div i": ["f", "g"], "ul>li>i": ["deep"], "li:first-child": ["a"], "li:last-child": ["e"],
+             "li:nth-child(2)": ["bdeep"], "li:nth-child(odd)": ["a", "c", "e"], "li:nth-child(even)": ["bdeep", "d"],
+             "li:nth-child(3n+1)": ["a", "d"], "li:nth-child(-n+2)": ["a", "bdeep"], "li:not(.x):not([lang])": ["bdeep", "d"],
+             "li:not(.x, .one)": ["bdeep", "d", "e"], "li.x + li": ["d"], "li.x ~ li": ["d", "e"], '[class~="two"]': ["a"],
+             '[class~="tw"]': [], "li[lang|=en]": ["a", "e"], "li.one + li > i, div > p i": ["deep", "g"], "html:first-child > body > div i": ["f", "g"]}
+    p = Page()
+    row = df.select(*[F.transform(p.select(s), p.text_of).alias(f"c{i}") for i, s in enumerate(cases)]).first()
+    for got, (selector, expected) in zip(row, cases.items()):
+        assert got == expected, selector
+
+
+@pytest.mark.parametrize("selector", ["", "p,", "> p", "p >", "p > > i", "p:hover", "a::before", "p:not(i b)", "[a!=b]", ".a%", "p:nth-child(x)"])
+def test_unknown_selectors_raise(selector):
+    with pytest.raises(ValueError):
+        parse_selector(selector) and Page().select(selector)
+
+
 def test_resolvers_on_profile(spark):
     df = with_dom(spark.createDataFrame([(PROFILE, "https://u.edu/cur")], "html string, url string"))
     row = X.resolve_all_fields(df).first().asDict()

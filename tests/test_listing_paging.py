@@ -126,3 +126,38 @@ def test_robots(spark, agent):
     for p in paths:
         assert got["https://h.org" + p] == parser.can_fetch(agent, "https://h.org" + p), p
     assert got["https://free.org/private"]
+
+
+ENTRIES = [
+    "User-agent: crab\nDisallow: /a\n\nDisallow: /b\n",
+    "User-agent: crab\n\nDisallow: /a\nUser-agent: *\nDisallow: /b",
+    "User-agent: crab\nDisallow: /a\n\nUser-agent: crab\nDisallow: /b\n\nUser-agent: *\nDisallow: /c",
+    "User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b",
+    "User-agent: crab\nCrawl-delay: 5\nUser-agent: *\nDisallow: /b",
+    "Disallow: /a\nUser-agent: eel\nUser-agent: crab\nAllow: /a/x\nDisallow: /a\nDisallow:\n \nDisallow: /b",
+    "User-agent: crab # us\nno colon here\nSitemap: /s\nDisallow: *\n", "", "User-agent: crab",
+    "User-agent: eel\nUser-agent: *\nDisallow: /b\r\n\r\nUser-agent: crab\nDisallow: /c",
+]
+
+
+@pytest.mark.parametrize("agent", ["crab/2.1", "*", "eel"])
+def test_robots_entries(spark, agent):
+    paths = ["/", "/a", "/a/x", "/b", "/c"]
+    urls = spark.createDataFrame([(f"https://h{i}.org{p}",) for i in range(len(ENTRIES)) for p in paths], "url string")
+    stored = spark.createDataFrame(
+        [(f"h{i}.org", t, "2024-02-01") for i, t in enumerate(ENTRIES)] + [("h0.org", "User-agent: *\nDisallow: /", "2024-01-01"),
+                                                                          ("h1.org", None, "2024-03-01")],
+        "host string, robots_txt string, fetched_at string")
+    got = {r.url: r.allowed for r in robots.with_robots_allowed(urls, stored, agent).collect()}
+    for i, text in enumerate(ENTRIES):
+        parser = urllib.robotparser.RobotFileParser()
+        parser.parse(text.splitlines())
+        for p in paths:
+            assert got[f"https://h{i}.org{p}"] == parser.can_fetch(agent, f"https://h{i}.org{p}"), (i, p)
+
+
+def test_robots_rules_rows(spark):
+    stored = spark.createDataFrame([("h.org", ENTRIES[2])], "host string, robots_txt string")
+    rows = robots.robots_rules(stored).orderBy("entry", "ord").collect()
+    assert [(r.entry, r.agents, r.ord, r.allow, r.prefix) for r in rows] == [
+        (0, ["crab"], 0, False, "/a"), (1, ["crab"], 0, False, "/b"), (2, ["*"], 0, False, "/c")]
