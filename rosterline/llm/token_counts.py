@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import columns_as, map_batches
+from rosterline.llm.common import columns_as, map_batches, store
 from rosterline.llm.wordbpe import encoder
 
 #: Lengths per block of the two-level suffix sums.
@@ -46,7 +46,9 @@ def length_report(histogram: DataFrame, limits: Iterable[int] = ()) -> DataFrame
     ``n_docs``, ``docs_at_most``, ``docs_at_least`` and ``tokens_at_least`` (suffix sums), ``truncated_tokens`` (what is left
     when each document is cut to that many tokens), ``docs_cut``, and ``quantile`` (share of documents at most that long;
     the q-quantile is the smallest length whose share reaches q). Only block sums meet in one task: one per 1024 lengths.
+    The histogram is stored first, because the sums read it several times and each reading would encode all texts anew.
     """
+    histogram = store(histogram)
     asked = [(int(x),) for x in limits]
     if asked:
         more = histogram.sparkSession.createDataFrame(asked, "n_tokens long").select("n_tokens", F.lit(0).cast("long").alias("n_docs"))
