@@ -64,7 +64,7 @@ def test_stream_records(spark, tmp_path):
     query = J.append_records(J.stream_records(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     rows = spark.read.json(str(tmp_path / "out")).collect()
-    assert sorted(r.page_url for r in rows) == ["https://u.edu/people/wiel", "https://u.edu/people/bea"]
+    assert sorted(r.page_url for r in rows) == ["https://u.edu/people/bea", "https://u.edu/people/wiel"]
 
 
 def test_stream_status_equals_batch(spark, tmp_path, statuses):  # noqa: F811
