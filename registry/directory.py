@@ -44,15 +44,34 @@ def members(spark, d):
         F.concat(F.lit("Professor of "), "c_mktsegment").alias("title"))
 
 
+# Three layouts of a profile, by key. They differ in which rule of a ladder finds a value: item properties, then classes,
+# then what is left (page metadata, short class names, opening paragraphs, a value after a colon).
+BIO = "%1$s works in the %3$s department of %4$s and has done so for many years."
+SHEET = (
+    "<html><head><title>Staff sheet</title></head><body><article><h1>%1$s</h1>\n<dl>"
+    '<dt>Post</dt> <dd itemprop="jobTitle">%2$s</dd>\n<dt>Unit</dt> <dd itemprop="affiliation">%3$s</dd>\n'
+    '<dt>Seat</dt> <dd itemprop="address">%4$s</dd>\n<dt>Mail</dt> <dd><a href="mailto:%5$s?subject=hi">%5$s</a></dd>\n'
+    '<dt class="cue">Call</dt> <dd><a href="tel:%6$s">%6$s</a></dd>\n</dl>'
+    f'<blockquote itemprop="description">{BIO}</blockquote></article></body></html>')
+GRID = (
+    '<html><head><meta name="twitter:title" content="%1$s"></head><body><h2 class="full-name">%1$s</h2>\n<table>'
+    '<tr><td>Post</td> <td class="position">%2$s</td></tr>\n<tr><td>Unit</td> <td class="organization">%3$s</td></tr>\n'
+    '<tr><td>Seat</td> <td class="street-address">%4$s</td></tr>\n<tr><td>Mail</td> <td>%5$s</td></tr>\n'
+    '<tr><td><i class="cue">Call</i></td> <td>%6$s</td></tr>\n</table>'
+    f'<section class="about-me">{BIO}</section></body></html>')
+NOTE = (
+    '<html><head><meta property="og:title" content="%1$s"></head><body><main><em class="role-line">%2$s</em>\n'
+    f'<p>{BIO}</p>\n'
+    '<ol><li class="dept">%3$s</li> <li class="office">%4$s</li></ol>\n'
+    '<ul><li>Mail</li> <li><a href="mailto:%5$s">%5$s</a></li></ul>\n'
+    '<div><span class="cue">Call: %6$s</span></div></main></body></html>')
+
+
 def detail_pages(spark, d):
     """url, html of every customer's profile."""
-    html = F.format_string(
-        '<html><head><title>%1$s</title><meta name="x" content="y"></head><body><main><h1>%1$s</h1>\n'
-        '<p class="title">%2$s</p>\n<p class="department">%3$s</p>\n<p class="location">%4$s</p>\n'
-        '<div class="contact"><p><b>Mail:</b> <a href="mailto:%5$s?subject=hi">%5$s</a></p>\n'
-        '<p><b>Call:</b> <a href="tel:%6$s">%6$s</a></p></div>\n<div class="biography"><p>'
-        "%1$s works in the %3$s department of %4$s and has done so for many years.</p></div></main></body></html>",
-        "name", "title", "org", "place", "email", "phone")
+    sheet, grid, note = (
+        F.format_string(layout, "name", "title", "org", "place", "email", "phone") for layout in (SHEET, GRID, NOTE))
+    html = F.when(F.col("id") % 3 == 0, sheet).when(F.col("id") % 3 == 1, grid).otherwise(note)
     return members(spark, d).select(F.concat(F.lit(f"{SITE}/people/"), "id").alias("url"), html.alias("html"))
 
 
@@ -118,12 +137,13 @@ _field("generic_phone", "phone", extract.generic_phone, "phone")
 _field("generic_name", "name", extract.generic_name, "name")
 _field("generic_title", "title", extract.generic_title, "title")
 _field("generic_bio", "bio", extract.generic_bio, "bio")
-_field("generic_org", "org", extract.generic_org, "org")
-_field("generic_location", "location", extract.generic_location, "place")
+# The generic ladders don't know the class names "dept" and "office".
+_field("generic_org", "org", extract.generic_org, "CASE WHEN id % 3 = 2 THEN '' ELSE org END")
+_field("generic_location", "location", extract.generic_location, "CASE WHEN id % 3 = 2 THEN '' ELSE place END")
 _field("extract_field", "phone", lambda p: extract.extract_field(p, Field("phone", "str?", synonyms=("call",))), "phone")
 _field("extract_by_label", "mail", lambda p: extract.extract_by_label(p, ["e-mail", "mail"]), "email")
 _field("value_near_label", "phone",
-       lambda p: extract.value_near_label(p, F.get(p.select("b"), F.lit(1)), F.lit("Call:")), "phone")
+       lambda p: extract.value_near_label(p, p.first(".cue"), F.lit("Call")), "phone")
 
 RECORD = "url AS page_url, name, email, phone, title, bio, org, place AS location"
 
@@ -133,7 +153,8 @@ def resolve_all_fields(spark, d):
     return extract.resolve_all_fields(details(spark, d))
 
 
-@query("extract_by_schema", f"{DETAIL} SELECT url AS page_url, name, email AS mail, phone, bio, org AS organization, '' AS fax FROM d")
+@query("extract_by_schema", f"""{DETAIL} SELECT url AS page_url, name, email AS mail, phone, bio,
+    CASE WHEN id % 3 = 2 THEN '' ELSE org END AS organization, '' AS fax FROM d""")
 def extract_by_schema(spark, d):
     schema = RecordSchema.of({"fields": [
         {"name": "name", "type": "str"}, {"name": "mail", "type": "email?"}, {"name": "phone", "type": "str?"},

@@ -2,7 +2,7 @@
 
 All crawls advance together, one level of the link graph per step. A page is parsed
 once, into a compact row of facts bucketed by task id, so each level reads the link
-columns only and shuffles nothing but the frontier. Order within a level is an id from
+columns once and shuffles nothing but the frontier. Order within a level is an id from
 a parallel sort; no crawl is gathered in one task, whatever its share of the pages.
 """
 
@@ -30,6 +30,8 @@ LIST_CONFIDENCE, DETAIL_CONFIDENCE = 0.8, 0.9
 FIELDS = ["page_url", "name", "email", "phone", "title", "bio", "org", "location"]
 OUTPUT_KEYS = ["page_url", "name"]
 ORDER = ["level", "rank", "item"]
+# What a level needs of its list pages.
+LINKS = ["detail_hrefs", "strategy", "next_hrefs", "numbered_hrefs", "cursor_hrefs"]
 # Levels kept as separate checkpoints before they are merged into one.
 MERGE_EVERY = 8
 
@@ -74,8 +76,7 @@ def page_facts(pages: DataFrame, hints: list[SiteHints] | None = None) -> DataFr
         "numbered_hrefs": paging.numbered_hrefs(page),
         "cursor_hrefs": paging.cursor_hrefs(page),
     }).withColumn("cards", listing.card_records(page, F.col("_cards")))
-    kept = ["task_id", "url", "status", "fetched_at", "cards", "detail_hrefs", "strategy", "next_hrefs", "numbered_hrefs",
-            "cursor_hrefs"]
+    kept = ["task_id", "url", "status", "fetched_at", "cards", *LINKS]
     # An empty page URL marks "the page's own", which is known only once it is visited.
     facts = resolve_all_fields(links.withColumn("_own", F.lit(BLANK)), *kept, url="_own")
     packed = facts.select(*kept, F.struct(*FIELDS).alias("detail"))
@@ -119,6 +120,12 @@ def _one_per_task(tasks: DataFrame, force: bool) -> DataFrame:
     ).select("crawl_id", "task_id", "_t.*", "n")
 
 
+def _attempted(todo: DataFrame, facts: DataFrame) -> DataFrame:
+    """Tasks with their page's status (null: a failed fetch) and, for list pages, its links."""
+    met = join_frontier(todo, facts.select("task_id", "status", *LINKS))
+    return met.withColumns({c: F.when(F.col("depth") == 0, F.col(c)) for c in LINKS})
+
+
 def _fetched(visited: _Growing, starts: DataFrame) -> DataFrame:
     if not visited.parts:
         return starts.select("crawl_id", F.lit(0).cast("bigint").alias("fetched"))
@@ -224,27 +231,27 @@ def crawl_replay(
     visited, seen, failed = _Growing(), _Growing(), _Growing()
     level = 0
     while True:
-        todo = frontier
+        # A link on every page is one row per crawl from here on.
+        todo = _one_per_task(frontier, options.force)
         if done is not None:
             todo = skip_done(todo, done, "crawl_id", "task_id", options.force)
         if not options.force and visited.parts:
             todo = todo.join(visited.frame.select("crawl_id", "task_id"), ["crawl_id", "task_id"], "left_anti")
-        known = facts.select("task_id", "status")
-        attempted = materialize(join_frontier(_one_per_task(todo, options.force), known)).withColumn("level", F.lit(level))
+        attempted = materialize(_attempted(todo, facts)).withColumn("level", F.lit(level))
         found, missing = attempted.where("status is not null").drop("n"), attempted.where("status is null")
         stops = None
         if options.max_pages:
             found, stops = _within_budget(found, _fetched(visited, starts), options.max_pages)
             # Only attempts before a crawl's last page happened; their rows are still in the frontier.
-            before = todo.join(stops, "crawl_id", "left").where(
+            before = frontier.join(stops, "crawl_id", "left").where(
                 F.col("stop").isNull() | (F.col("rank") < F.col("stop")))
-            missing = _one_per_task(before, options.force).join(known, "task_id", "left_anti")
+            lacking = missing.select("crawl_id", "task_id")
+            missing = _one_per_task(before.join(lacking, ["crawl_id", "task_id"], "left_semi"), options.force)
         failed.add(missing.groupBy("crawl_id").agg(F.sum("n").alias("pages_failed")))
-        visited.add(found)
+        visited.add(found.drop(*LINKS))
         lists = found.where("depth = 0")
         if stops is not None:
             lists = lists.join(stops, "crawl_id", "left_anti")
-        lists = join_frontier(lists.drop("status"), facts.drop("url", "cards", "detail", "status"), "inner")
         ranked = with_order_id(
             _next_tasks(lists, seen, columns, contested=level > 0), ["crawl_id", "parent_rank", "kind", "ord"]
         )
