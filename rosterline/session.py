@@ -62,10 +62,6 @@ def store_bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"rosterline_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark)}/{name}"
-    if spark.conf.get("spark.sql.catalog.spark_catalog", "builtin") != "builtin":
-        # A replaced session catalog may not know buckets: keep the pruned reads at least.
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     stored = spark.table(name)
