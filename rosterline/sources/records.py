@@ -21,9 +21,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header and quoted line breaks; types are inferred unless a schema is given."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; types are inferred, by one more pass, unless a schema is given.
+
+    Quoted line breaks make each file one task. Where values hold none, ``multi_line=False`` lets Spark split large files.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
