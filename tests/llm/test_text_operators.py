@@ -169,6 +169,16 @@ def test_exact_and_paraphrased_items_are_found(spark):
     assert decontamination.contaminated(docs, answered, answer="reply").count() == 0
 
 
+def test_a_passage_of_a_third_of_all_documents_is_found(spark):
+    passage = prose(40, 4321)
+    rows = [(k, f"{prose(100, k)} {passage} {prose(100, k + 500)}" if k % 3 == 0 else prose(200, k)) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(k, 1) for k in range(0, 90, 3)}
+    for items in ([(1, passage)], [(1, passage), (2, prose(40, 99))]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == want
+
+
 @needs_tables
 def test_benchmark_passages_of_the_small_table(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
