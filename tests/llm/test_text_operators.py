@@ -179,6 +179,15 @@ def test_a_passage_of_a_third_of_all_documents_is_found(spark):
         assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == want
 
 
+def test_the_end_of_an_item_is_no_answer(spark):
+    item = prose(59, 77)
+    cut = " ".join(item.split()[:53] + prose(6, 78).split())
+    docs = spark.createDataFrame([(1, f"{prose(80, 1)} {cut} {prose(80, 2)}"), (2, prose(200, 3))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item, None), (2, prose(30, 5), "")], "item_id long, text string, reply string")
+    for answer in (None, "reply"):
+        assert [(r.doc_id, r.item_id, r.answer) for r in decontamination.contaminated(docs, bench, answer=answer).collect()] == [(1, 1, None)]
+
+
 @needs_tables
 def test_benchmark_passages_of_the_small_table(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
