@@ -179,6 +179,23 @@ def test_a_passage_of_a_third_of_all_documents_is_found(spark):
         assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == want
 
 
+def test_verbatim_items_of_a_large_benchmark_are_all_found(spark):
+    g = np.random.default_rng(12)
+    items = [(k, prose(int(g.integers(15, 60)), 10_000 + k)) for k in range(2000)] + [(k, prose(k - 1999, 50_000 + k)) for k in range(2000, 2008)]
+    rows, want = [], set()
+    for k in range(400):
+        words, q = prose(300, 90_000 + k).split(), int(g.integers(0, 2000)) if k < 392 else k + 1608
+        at = int(g.integers(0, 300))
+        words[at:at] = items[q][1].split()
+        rows.append((k, " ".join(words)))
+        want.add((k, q))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    print("verbatim items missed", len(want - got), "of", len(want))
+    assert want <= got
+
+
 def test_the_end_of_an_item_is_no_answer(spark):
     item = prose(59, 77)
     cut = " ".join(item.split()[:53] + prose(6, 78).split())
