@@ -1,4 +1,4 @@
-"""Repeated passages by content-defined chunking: a gear rolling hash cuts texts where their content says so."""
+"""Repeated passages by content-defined chunking: a gear rolling hash says where the stretches that are compared begin."""
 
 from __future__ import annotations
 
@@ -17,14 +17,17 @@ class Chunking:
     """A chunk ends where the hash of the last 32 characters has ``bits`` leading zeros, but not before ``least`` characters;
     where none comes within ``most``, at the smallest hash, so that also monotonous text is cut by its content.
 
-    A passage counts as repeated if chunks of at least ``run`` characters in a row occur in several documents: with chunks of
-    about 44 characters a passage of 50 words nearly always holds such a row, and chance repeats of one chunk don't.
+    Stretches of ``run`` characters are compared exactly (by 64-bit digest). They begin at the smallest hash of every
+    ``window`` characters, so any passage of ``run + window - 1`` characters that documents share holds one that starts
+    at the same place of the passage in each of them: all such passages are found, and none of less than ``run``. Up to
+    ``window - 1`` characters at each end of a passage inside a text may stay out of its span.
     """
 
     bits: int = 5
     least: int = 16
     most: int = 512
     run: int = 120
+    window: int = 32
 
 
 def _gear() -> np.ndarray:
@@ -57,30 +60,44 @@ def cuts(h: np.ndarray, chunking: Chunking) -> list[int]:
     return out
 
 
+def stretches(h: np.ndarray, chunking: Chunking) -> np.ndarray:
+    """Starts of the stretches of a text with these hashes, among them its first and its last; none if it is too short.
+
+    The hash of a start is that of the stretch's own first 32 characters."""
+    most = len(h) - chunking.run + 1
+    if most < 1:
+        return np.zeros(0, np.int64)
+    # Hash and place in one number; the smallest of every window by doubling.
+    own = h[31 : 31 + most].astype(np.uint64) << np.uint64(32) | np.arange(most, dtype=np.uint64)
+    low, width = own, 1
+    while width < chunking.window and len(low) > 1:
+        step = min(width, chunking.window - width, len(low) - 1)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return np.unique(np.concatenate([[0], (low & np.uint64(0xFFFFFFFF)).astype(np.int64), [most - 1]]))
+
+
 def chunks(docs: DataFrame, chunking: Chunking, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, pos, start, length, digest)`` of each chunk; null ids and texts have none."""
+    """``(doc_id, start, digest)`` of each stretch of ``run`` characters; null ids and short or null texts have none."""
 
     def run(batch: dict):
         for doc, content in zip(batch["doc_id"], batch["text"]):
-            if not content:
+            if not content or len(content) < chunking.run:
                 continue
             codes = np.frombuffer(content.encode("utf-32-le", "surrogatepass"), np.uint32)
-            ends = cuts(rolling_hash(codes), chunking)
-            starts = [0, *ends[:-1]]
-            digest = xxhash.xxh3_64_intdigest
-            found = np.fromiter((digest(content[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(starts, ends)), np.uint64, len(ends))
-            # A short rest is no chunk of its own: its place depends on where the text ends.
-            held["doc_id"].append(np.full(len(ends), doc, np.int64))
-            held["pos"].append(np.arange(len(ends), dtype=np.int32))
-            held["start"].append(np.array(starts, np.int32))
-            held["length"].append(np.diff([0, *ends]).astype(np.int32))
-            held["digest"].append(found.view(np.int64))
+            starts = stretches(rolling_hash(codes), chunking)
+            digest, raw, size = xxhash.xxh3_64_intdigest, memoryview(codes).cast("B"), 4 * chunking.run
+            found = np.fromiter((digest(raw[a : a + size]) for a in (4 * starts).tolist()), np.uint64, len(starts))
+            keep = _apart(starts, found, chunking.window)
+            held["doc_id"].append(np.full(len(keep), doc, np.int64))
+            held["start"].append(starts[keep].astype(np.int32))
+            held["digest"].append(found[keep].view(np.int64))
             if len(held["doc_id"]) >= 500:
                 yield flush()
         if held["doc_id"]:
             yield flush()
 
-    held: dict[str, list] = {k: [] for k in ("doc_id", "pos", "start", "length", "digest")}
+    held: dict[str, list] = {k: [] for k in ("doc_id", "start", "digest")}
 
     def flush():
         out = {k: np.concatenate(v) for k, v in held.items()}
@@ -89,32 +106,51 @@ def chunks(docs: DataFrame, chunking: Chunking, doc_id: str, text: str) -> DataF
         return out
 
     plain = columns_as(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_batches(plain, run, "doc_id long, pos int, start int, length int, digest long")
+    return map_batches(plain, run, "doc_id long, start int, digest long")
+
+
+def _apart(starts: np.ndarray, found: np.ndarray, least: int) -> np.ndarray:
+    """Which stretches to send: of equal ones in a row (monotonous text) the first, the last and one every ``least`` characters,
+    which still cover the same characters."""
+    same = found[1:] == found[:-1]
+    keep = np.ones(len(starts), bool)
+    inner = np.flatnonzero(same[1:] & same[:-1]) + 1 if len(same) > 1 else ()
+    last = -1
+    for k in inner:
+        if keep[k - 1]:
+            last = k - 1
+        # Left out if the next one still lies within reach of the last that was kept.
+        keep[k] = starts[k + 1] - starts[last] > least
+    return np.flatnonzero(keep)
 
 
 def repeated_passages(docs: DataFrame, chunking: Chunking = Chunking(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, start, end, removed)``: the spans (characters) of a document that other documents have too.
 
-    ``removed`` is true where an earlier document (smaller id) has the chunks; the earliest document keeps them, so of
+    ``removed`` is true where an earlier document (smaller id) has the stretches; the earliest document keeps them, so of
     copies and shared passages one stays. Repeats inside one document aren't counted. Digests are combined in tasks before
-    they are shuffled, and the join back to the chunks is one that Spark can split at hot digests. Null ids and null or empty
-    texts give no spans; rows that repeat an id are one document; an empty table gives no rows.
+    they are shuffled, and the join back to the stretches is one that Spark can split at hot digests. Null ids and null or
+    empty texts give no spans; rows that repeat an id are one document; an empty table gives no rows.
     """
     found = chunks(docs, chunking, doc_id, text)
     shared = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     # Stored, so that both sides of the join below are plain exchanges, which Spark splits at hot digests.
     shared = store(shared.where("first_doc <> last_doc").select("digest", "first_doc"))
     rows = chunks(docs, chunking, doc_id, text).join(shared, "digest")
-    rows = rows.select("doc_id", "pos", "start", (F.col("start") + F.col("length")).alias("end"), (F.col("doc_id") > F.col("first_doc")).alias("again"))
-    rows = rows.dropDuplicates(["doc_id", "pos", "start"])
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("island", F.col("pos") - F.row_number().over(by_doc))
-    size = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("doc_id", "island"))
-    rows = rows.withColumn("size", size).where(F.col("size") >= chunking.run)
-    # Within a repeated passage, stretches with the same fate.
-    part = F.sum(F.when(F.col("again") == F.lag("again").over(Window.partitionBy("doc_id", "island").orderBy("pos")), 0).otherwise(1))
-    rows = rows.withColumn("part", part.over(Window.partitionBy("doc_id", "island").orderBy("pos")))
-    return rows.groupBy("doc_id", "island", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("again").alias("removed")).select(
+    rows = rows.groupBy("doc_id", "start").agg(F.max(F.col("doc_id") > F.col("first_doc")).alias("again"))
+    rows = rows.withColumn("end", F.col("start") + chunking.run)
+    # Stretches overlap and are equally long: each adds what none before it has; what one that goes covers, goes.
+    by_doc = Window.partitionBy("doc_id").orderBy("start")
+    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(
+        "doc_id", F.col("again").alias("removed"),
+        F.greatest("start", F.when(F.col("again"), F.max(F.when(F.col("again"), F.col("end"))).over(before)).otherwise(F.max("end").over(before))).alias("start"),
+        F.when(F.col("again"), F.col("end")).otherwise(F.least("end", F.min(F.when(F.col("again"), F.col("start"))).over(after))).alias("end"))
+    rows = rows.where("start < end")
+    new = F.when(F.col("start") == F.lag("end").over(Window.partitionBy("doc_id", "removed").orderBy("start")), 0).otherwise(1)
+    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(Window.partitionBy("doc_id", "removed").orderBy("start")))
+    return rows.groupBy("doc_id", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(
         "doc_id", "start", "end", "removed")
 
 

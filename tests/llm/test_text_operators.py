@@ -267,6 +267,37 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
     assert substring_dedup.repeated_passages(docs.where("false")).count() == 0
 
 
+def test_no_repeated_passage_of_run_and_window_is_missed(spark):
+    least, rows = substring_dedup.Chunking().run + 31, []
+    for k in range(600):
+        words, shared = prose(120, 20_000 + k).split(), prose(60, 40_000 + k // 2)
+        shared = shared[: least if k // 2 % 2 else 330]
+        rows.append((k, f"{' '.join(words[: 20 + k % 70])} {shared} {' '.join(words[20 + k % 70 :])}", shared))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shared string")
+    spans = substring_dedup.repeated_passages(docs).collect()
+    texts = {d: (t, p) for d, t, p in rows}
+    print("documents missed", 600 - len({r.doc_id for r in spans}), "of 600")
+    assert {(r.doc_id, r.removed) for r in spans} == {(k, bool(k % 2)) for k in range(600)}
+    for r in spans:
+        text, passage = texts[r.doc_id]
+        at = text.index(passage)
+        assert at - 8 < r.start <= at + 31 and at + len(passage) - 31 <= r.end < at + len(passage) + 8 and r.end - r.start >= 120
+
+
+def test_spans_of_stretches_with_different_fates_are_disjoint(spark):
+    a, b, c = (prose(60, 60_000 + k) for k in range(3))
+    docs = spark.createDataFrame([(1, a), (2, f"{a} {b}"), (3, f"{b} {c}"), (4, c + " " + "x" * 3000), (5, "x" * 2000)], "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.removed))
+    for doc, spans in got.items():
+        spans.sort()
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert got[1] == [(0, len(a), False)] or got[1][0][1] > len(a) - 32
+    assert [s[2] for s in sorted(got[2])] == [True, False] and [s[2] for s in sorted(got[3])] == [True, False]
+    assert [s[2] for s in sorted(got[4])] == [True, False] and got[5] == [(0, 2000, True)]
+
+
 # Scoring
 
 def test_scores_prefer_the_corpus_and_match_a_plain_forward_pass(spark):
