@@ -326,6 +326,23 @@ def test_scores_prefer_the_corpus_and_match_a_plain_forward_pass(spark):
     assert lm_scoring.score(docs.where("false"), *lm_scoring.train(docs.where("false"), net)).count() == 0
 
 
+def test_rare_words_have_their_own_counts_and_unseen_ones_are_spelled(spark):
+    text = "the " * 50 + "a of to " * 20 + "zebrang " * 9 + "quong "
+    docs = spark.createDataFrame([(1, text), (2, "the a of to")], "doc_id long, text string")
+    net = lm_scoring.Network(vocabulary=4, own=2, shared=1)
+    lexicon, flat = lm_scoring.train(docs, net)
+    words = ["to", "zebrang", "quong", "xq", "xqxqxqxqzü"]
+    asked = spark.createDataFrame(list(enumerate(f"the {w}" for w in words)), "doc_id long, text string")
+    got = {r.doc_id: r.pseudo_log_likelihood for r in lm_scoring.score(asked, lexicon, flat).collect()}
+    # Rare words of a class stand in the same row of the network, so only their own shares differ.
+    assert got[1] - got[2] == pytest.approx(np.log(9)) and got[2] > got[3] > got[4]
+    mass = 2 * 21 + 9 + 1 + 1  # two of the four frequent words, the rare ones and the reserve
+    assert lexicon.rare[2] == pytest.approx(-np.log(mass))
+    assert got[2] - got[3] == pytest.approx(-sum(lexicon.spelling[b] for b in b"xq") - lexicon.spelling[256])
+    shares = [np.exp(w[2]) for w in lexicon.words.values() if w[1] == 2] + [n * np.exp(lexicon.rare[2]) for n in (9, 1, 1)]
+    assert sum(shares) == pytest.approx(1) and np.exp(lexicon.spelling).sum() == pytest.approx(1)
+
+
 # Pipeline
 
 @needs_tables
