@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import decontamination, embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, pii, substring_dedup, token_counts, warc, wordbpe
+from rosterline.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, merkle_manifest, minhash_dedup, oracle, packing, pii
+from rosterline.llm import substring_dedup, target_resampling, token_counts, warc, wordbpe
 from rosterline.session import ensure_checkpoint_dir
 
 
@@ -75,9 +76,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("refers_to", F.expr("cast(nullif(r, '') as bigint)")).drop("r")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_embedding_near_dedup, op3_lm_scoring, op4_best_fit_packing, op5_pii, op6_decontamination,
-                             op7_substring_dedup, op8_minhash_near_dedup,
-                             op9_language_id, op10_warc)
+                             op7_substring_dedup, op8_minhash_near_dedup, op9_language_id, op10_warc, op11_merkle_manifest,
+                             op12_license_scans, op13_target_resampling)
 }
-SQL: dict[str, str] = {}
+
+SQL: dict[str, str] = oracle.SQL
