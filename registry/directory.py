@@ -300,6 +300,30 @@ def crawl_replay(spark, d):
     return run.visited.select("crawl_id", "url", "depth", "level")
 
 
+def chain_site(spark, d):
+    """Three sections of list pages of five people each; every page names only the next, so a chain grows with the tables."""
+    card = F.format_string('<div class="person-card"><h3><a href="/people/%1$s">%2$s</a></h3> <p class="title">%3$s</p></div>', "id", "name", "title")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    people = members(spark, d).select(F.floor(F.col("id") / 5).alias("block"), "id", card.alias("card"))
+    pages = people.repartition(width, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "card"))).alias("cards"))
+    section, number = F.col("block") % 3, F.floor(F.col("block") / 3)
+    html = F.concat(F.lit("<html><body><div class='listing'>"), F.array_join(F.transform("cards", lambda c: c["card"]), "\n"),
+                    F.format_string("</div><a rel='next' href='/section/%1$s?page=%2$s'>Next</a></body></html>", section, number + 1))
+    lists_ = pages.select(F.format_string(f"{SITE}/section/%1$s?page=%2$s", section, number).alias("url"), html.alias("html"))
+    return lists_.unionByName(fetched_details(spark, d))
+
+
+@query("crawl_chain", f"""WITH RECURSIVE {MEMBERS_SQL},
+    c AS (SELECT *, (id // 5) % 3 AS s, id // 15 AS q FROM m), pages AS (SELECT DISTINCT s, q FROM c),
+    reach(s, q) AS (SELECT s, q FROM pages WHERE q = 0 UNION ALL SELECT r.s, p.q FROM reach r JOIN pages p ON p.s = r.s AND p.q = r.q + 1),
+    visited AS (SELECT s, 'https://dir.example.org/section/' || s || '?page=' || q AS url, 0 AS depth, q AS level FROM reach
+        UNION ALL SELECT s, url, 1, q + 1 FROM c JOIN reach USING (s, q) WHERE stored)
+    SELECT 'https://dir.example.org/section/' || s || '?page=0' AS crawl_id, url, depth, level::INT AS level FROM visited""")
+def crawl_chain(spark, d):
+    begun = spark.range(3).select(F.format_string(f"{SITE}/section/%s?page=0", "id").alias("start_url"))
+    return crawls.crawl_replay(chain_site(spark, d), begun).visited.select("crawl_id", "url", "depth", "level")
+
+
 @query("crawl_limits", f"""{REACH_SQL},
     queue AS (SELECT n, url, 0 AS level, 0 AS kind, 0 AS ord FROM lists WHERE p = 1
         UNION ALL SELECT n, url, 1, 0, id FROM m WHERE p = 1 AND stored

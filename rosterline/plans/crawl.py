@@ -2,8 +2,10 @@
 
 All crawls advance together, one level of the link graph per step. A page is parsed
 once, into a compact row of facts bucketed by task id, so each level reads the link
-columns once and shuffles nothing but the frontier. Order within a level is an id from
-a parallel sort; no crawl is gathered in one task, whatever its share of the pages.
+columns once and shuffles nothing but the frontier; visited pages and seen URLs are tables
+bucketed by the keys they are met on, which grow by appends and stay where they are. Order
+within a level is an id from a parallel sort; no crawl is gathered in one task, whatever its
+share of the pages. Chains of pages with one next page each are walked by pointer doubling.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from rosterline.operators.extract import BLANK, resolve_all_fields
 from rosterline.operators.hints import SiteHints, hinted
 from rosterline.operators.ranking import top_k, with_global_rank, with_order_id
 from rosterline.operators.robots import with_robots_allowed
-from rosterline.session import materialize, store_bucketed
+from rosterline.plans import chains
+from rosterline.session import BucketedTable, materialize, store_bucketed
 from rosterline.sources.pages import as_pages
 from rosterline.sources.runlog import event_rows, skip_done
 
@@ -32,6 +35,7 @@ OUTPUT_KEYS = ["page_url", "name"]
 ORDER = ["level", "rank", "item"]
 # What a level needs of its list pages.
 LINKS = ["detail_hrefs", "strategy", "next_hrefs", "numbered_hrefs", "cursor_hrefs"]
+VISITED = ["crawl_id", "task_id", "start_url", "url", "parent_url", "depth", "rank", "status", "level"]
 # Levels kept as separate checkpoints before they are merged into one.
 MERGE_EVERY = 8
 
@@ -114,9 +118,9 @@ def _one_per_task(tasks: DataFrame, force: bool) -> DataFrame:
     """The earliest attempt per crawl and task with the number of attempts; every attempt under ``force``."""
     if force:
         return tasks.withColumn("n", F.lit(1).cast("bigint"))
-    rest = F.struct("start_url", "url", "parent_url", "depth", "rank")
+    rest = F.struct("start_url", "url", "parent_url", "depth", "rank", "level")
     return tasks.groupBy("crawl_id", "task_id").agg(
-        F.min_by(rest, "rank").alias("_t"), F.count("*").alias("n")
+        F.min_by(rest, F.struct("level", "rank")).alias("_t"), F.count("*").alias("n")
     ).select("crawl_id", "task_id", "_t.*", "n")
 
 
@@ -126,8 +130,8 @@ def _attempted(todo: DataFrame, facts: DataFrame) -> DataFrame:
     return met.withColumns({c: F.when(F.col("depth") == 0, F.col(c)) for c in LINKS})
 
 
-def _fetched(visited: _Growing, starts: DataFrame) -> DataFrame:
-    if not visited.parts:
+def _fetched(visited: BucketedTable, starts: DataFrame) -> DataFrame:
+    if visited.frame is None:
         return starts.select("crawl_id", F.lit(0).cast("bigint").alias("fetched"))
     return visited.frame.groupBy("crawl_id").agg(F.count("*").alias("fetched"))
 
@@ -187,15 +191,15 @@ def _level_columns(options: CrawlOptions) -> dict[str, Column]:
     }
 
 
-def _next_tasks(lists: DataFrame, seen: _Growing, columns: dict[str, Column], contested: bool) -> DataFrame:
+def _next_tasks(lists: DataFrame, seen: BucketedTable, columns: dict[str, Column], contested: bool) -> DataFrame:
     """Tasks a level of list pages queues: detail pages first, then next pages."""
-    parent = ["crawl_id", "start_url", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank")]
+    parent = ["crawl_id", "start_url", "level", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank")]
     details = lists.select(*parent, columns["details"]).where(columns["is_person"]).withColumns({
         "kind": F.lit(0), "depth": F.lit(1), "seen_url": F.lit(None).cast("string")})
     candidates = lists.withColumn("used", columns["used"]).select(
         *parent, (F.col("used") == paging.NUMBERED).alias("many"), columns["nexts"],
     ).withColumn("seen_url", columns["seen_url"])
-    if seen.parts:
+    if seen.frame is not None:
         candidates = candidates.join(seen.frame, ["crawl_id", "seen_url"], "left_anti")
     candidates = materialize(candidates)
     contested = contested and not candidates.where("not many").isEmpty()
@@ -203,6 +207,79 @@ def _next_tasks(lists: DataFrame, seen: _Growing, columns: dict[str, Column], co
     return details.unionByName(nexts)
 
 
+def _chain_heads(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """The list pages that are their crawl's only one in the frontier, and from which the first two edges lead on."""
+    alone = frontier.where("depth = 0").groupBy("crawl_id").agg(F.count("*").alias("n")).where("n = 1").select("crawl_id")
+    second = edges.select("task_id", "next_task").join(edges.select(F.col("task_id").alias("next_task")), "next_task").select("task_id")
+    return frontier.where("depth = 0").join(alone, "crawl_id", "left_semi").join(second, "task_id", "left_semi").select(*frontier.columns)
+
+
+@dataclass(frozen=True)
+class _Walked:
+    """Pages of chains up to the last that is safe (``tails``, which the frontier goes on with), and their detail links."""
+
+    heads: DataFrame
+    pages: DataFrame
+    tails: DataFrame
+    details: DataFrame
+
+
+def _walk_chains(frontier: DataFrame, facts: DataFrame, jumps: chains.Jumps, visited: BucketedTable, seen: BucketedTable,
+                 done: DataFrame | None, columns: dict[str, Column], force: bool) -> _Walked | None:
+    """Follow the chains of a frontier as far as a walk page by page would take the same pages.
+
+    A chain ends before the first page that is taken otherwise, or not at all: one whose edge a crawl resolves differently,
+    one that was seen, visited or done, one that is also a task of this frontier or a detail link of an earlier page.
+    The last page before that goes back to the frontier, where all its candidates are tried.
+    """
+    heads = materialize(_chain_heads(frontier, jumps.edges))
+    if heads.isEmpty():
+        return None
+    rows = materialize(chains.with_seen_url(chains.walk(heads, jumps)))
+    later = rows.where("at > 0")
+    stops = [chains.broken_edges(rows, jumps.edges), chains.repeated(later, "seen_url")]
+    first = heads.select("crawl_id", url_normalize("url").alias("seen_url"), F.col("level").alias("base"), F.col("rank").alias("base_rank"), "parent_url")
+    stops.append(later.join(first.where("parent_url is not null"), ["crawl_id", "seen_url"], "left_semi").select("crawl_id", "at"))
+    if seen.frame is not None:
+        stops.append(later.join(seen.frame, ["crawl_id", "seen_url"], "left_semi").select("crawl_id", "at"))
+    pages = facts.select("task_id", "status", "detail_hrefs")
+    found = rows.join(pages, "task_id")
+    details = found.select("crawl_id", "start_url", "at", F.col("url").alias("parent_url"), "url", "detail_hrefs").select(
+        "crawl_id", "start_url", "at", "parent_url", columns["details"]).where(columns["is_person"])
+    details = materialize(details.withColumn("task_id", columns["task_id"]))
+    if not force:
+        stops.append(chains.repeated(rows, "task_id"))
+        if visited.frame is not None:
+            stops.append(rows.join(visited.frame.select("crawl_id", "task_id"), ["crawl_id", "task_id"], "left_semi").select("crawl_id", "at"))
+        if done is not None:
+            open_ = skip_done(rows, done, "crawl_id", "task_id").select("crawl_id", "at")
+            stops.append(rows.select("crawl_id", "at").join(open_, ["crawl_id", "at"], "left_anti"))
+        others = frontier.join(heads.select("crawl_id"), "crawl_id", "left_semi").where("depth > 0").select("crawl_id", "task_id")
+        stops.append(rows.join(others, ["crawl_id", "task_id"], "left_semi").select("crawl_id", "at"))
+        linked = details.groupBy("crawl_id", "task_id").agg(F.min("at").alias("from_at"))
+        stops.append(rows.join(linked, ["crawl_id", "task_id"]).where("at > from_at").select("crawl_id", "at"))
+    ends = stops[0]
+    for part in stops[1:]:
+        ends = ends.unionByName(part)
+    ends = ends.groupBy("crawl_id").agg(F.min("at").alias("end")).where("end > 1")
+    ends = materialize(ends.join(first.select("crawl_id", "base", "base_rank"), "crawl_id"))
+    if ends.isEmpty():
+        return None
+    before = rows.select("crawl_id", (F.col("at") + 1).alias("at"), F.col("url").alias("before_url"))
+    placed = rows.join(ends, "crawl_id").where("at < end").join(before, ["crawl_id", "at"], "left").join(
+        heads.select("crawl_id", F.col("parent_url").alias("head_parent")), "crawl_id")
+    placed = placed.select(
+        "crawl_id", "start_url", "url", "task_id", F.coalesce("before_url", "head_parent").alias("parent_url"), F.lit(0).alias("depth"),
+        F.when(F.col("at") == 0, F.col("base_rank")).otherwise(chains.AFTER_DETAILS).cast("bigint").alias("rank"),
+        (F.col("base") + F.col("at")).cast("int").alias("level"), "seen_url", "at", "end")
+    placed = materialize(placed)
+    inner = placed.where("at < end - 1")
+    links = details.join(ends, "crawl_id").where("at < end - 1").select(
+        "crawl_id", "start_url", F.col("next_url").alias("url"), "task_id", "parent_url", F.lit(1).alias("depth"), F.col("ord").cast("bigint").alias("rank"),
+        (F.col("base") + F.col("at") + 1).cast("int").alias("level"))
+    return _Walked(heads.join(ends.select("crawl_id"), "crawl_id", "left_semi"), inner, placed.where("at = end - 1"), links)
+
+
 def crawl_replay(
     pages: DataFrame, starts: DataFrame, options: CrawlOptions | None = None, done: DataFrame | None = None,
     robots: DataFrame | None = None,
@@ -211,9 +288,11 @@ def crawl_replay(
 
     ``pages`` holds url, html; ``done`` is an event log whose keys are skipped; ``robots``
     stored robots texts that starts must pass. Pages link to details (never expanded) and
-    to further list pages.
+    to further list pages. All list pages of a step are expanded together; a page that is its crawl's only one
+    is followed along its whole chain at once, except under ``max_pages``, which is met page by page.
     """
     options = options or CrawlOptions()
+    spark = pages.sparkSession
     if "crawl_id" not in starts.columns:
         starts = starts.withColumn("crawl_id", F.col("start_url"))
     starts = starts.select("crawl_id", "start_url")
@@ -223,21 +302,31 @@ def crawl_replay(
         starts = starts.withColumn("allowed", F.lit(True))
     starts = materialize(starts)
     facts = store_bucketed(page_facts(pages, options.hints), "task_id")
+    edges = materialize(chains.chain_edges(facts))
+    jumps = None if options.max_pages or edges.isEmpty() else chains.Jumps(edges)
     frontier = starts.where("allowed").select(
         "crawl_id", "start_url", F.col("start_url").alias("url"), task_id("start_url").alias("task_id"),
-        F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("rank"),
+        F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("level"),
     )
     columns = _level_columns(options)
-    visited, seen, failed = _Growing(), _Growing(), _Growing()
-    level = 0
+    visited, seen, failed = BucketedTable(spark, "crawl_id", "task_id"), BucketedTable(spark, "crawl_id", "seen_url"), _Growing()
+
+    def unvisited(tasks: DataFrame) -> DataFrame:
+        if done is not None:
+            tasks = skip_done(tasks, done, "crawl_id", "task_id", options.force)
+        if not options.force and visited.frame is not None:
+            tasks = tasks.join(visited.frame.select("crawl_id", "task_id"), ["crawl_id", "task_id"], "left_anti")
+        return tasks
+
+    first = True
     while True:
+        walked = jumps and _walk_chains(frontier, facts, jumps, visited, seen, done, columns, options.force)
+        if walked:
+            head = walked.heads.select("crawl_id", F.lit(0).alias("depth"))
+            frontier = frontier.join(head, ["crawl_id", "depth"], "left_anti").select(*frontier.columns)
         # A link on every page is one row per crawl from here on.
-        todo = _one_per_task(frontier, options.force)
-        if done is not None:
-            todo = skip_done(todo, done, "crawl_id", "task_id", options.force)
-        if not options.force and visited.parts:
-            todo = todo.join(visited.frame.select("crawl_id", "task_id"), ["crawl_id", "task_id"], "left_anti")
-        attempted = materialize(_attempted(todo, facts)).withColumn("level", F.lit(level))
+        todo = unvisited(_one_per_task(frontier, options.force))
+        attempted = materialize(_attempted(todo, facts))
         found, missing = attempted.where("status is not null").drop("n"), attempted.where("status is null")
         stops = None
         if options.max_pages:
@@ -248,22 +337,32 @@ def crawl_replay(
             lacking = missing.select("crawl_id", "task_id")
             missing = _one_per_task(before.join(lacking, ["crawl_id", "task_id"], "left_semi"), options.force)
         failed.add(missing.groupBy("crawl_id").agg(F.sum("n").alias("pages_failed")))
-        visited.add(found.drop(*LINKS))
+        visited.append(found.select(*VISITED))
         lists = found.where("depth = 0")
         if stops is not None:
             lists = lists.join(stops, "crawl_id", "left_anti")
         ranked = with_order_id(
-            _next_tasks(lists, seen, columns, contested=level > 0), ["crawl_id", "parent_rank", "kind", "ord"]
+            _next_tasks(lists, seen, columns, contested=not first), ["crawl_id", "parent_rank", "kind", "ord"]
         )
-        seen.add(ranked.where("kind = 1").select("crawl_id", "seen_url"))
+        seen.append(ranked.where("kind = 1").select("crawl_id", "seen_url"))
         frontier = ranked.select(
             "crawl_id", "start_url", F.col("next_url").alias("url"), columns["task_id"].alias("task_id"), "parent_url",
-            "depth", "rank",
+            "depth", "rank", (F.col("level") + 1).alias("level"),
         )
+        if walked:
+            # This step's details came first; those of the chains follow, level by level.
+            visited.append(walked.pages.join(facts.select("task_id", "status"), "task_id").select(*VISITED))
+            tried = unvisited(_one_per_task(walked.details, options.force))
+            tried = materialize(join_frontier(tried, facts.select("task_id", "status")))
+            failed.add(tried.where("status is null").groupBy("crawl_id").agg(F.sum("n").alias("pages_failed")))
+            visited.append(tried.where("status is not null").select(*VISITED))
+            seen.append(walked.pages.unionByName(walked.tails).where("at > 0").select("crawl_id", "seen_url"))
+            frontier = materialize(frontier.unionByName(walked.tails.select(*frontier.columns)))
         if frontier.isEmpty():
             break
-        level += 1
-    return Crawl(visited.frame, failed.frame, facts, starts, options)
+        first = False
+    seen.close()
+    return Crawl(visited.close(), failed.frame, facts, starts, options)
 
 
 def list_page_records(visited: DataFrame, facts: DataFrame) -> DataFrame:

@@ -68,3 +68,29 @@ def store_bucketed(df: DataFrame, key: str) -> DataFrame:
     # The files are what is used from here on; the catalog keeps no trace of them.
     spark.sql(f"DROP TABLE {name}")
     return stored
+
+
+class BucketedTable:
+    """A Parquet table bucketed by ``keys`` that grows by appends: joins on these keys leave it where it is.
+
+    Rows are appended one file per bucket. ``frame`` is null before the first append; ``close`` takes the table out of the
+    catalog, its files and frames over them stay.
+    """
+
+    def __init__(self, spark: SparkSession, *keys: str):
+        self.spark, self.keys = spark, keys
+        self.name = f"rosterline_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark)}/{self.name}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.frame: DataFrame | None = None
+
+    def append(self, df: DataFrame) -> None:
+        placed = df.repartition(self.buckets, *self.keys)
+        placed.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        self.frame = self.spark.table(self.name)
+
+    def close(self) -> DataFrame | None:
+        if self.frame is not None:
+            self.spark.sql(f"DROP TABLE {self.name}")
+        return self.frame

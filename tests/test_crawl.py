@@ -1,10 +1,14 @@
 """Crawl replay against a small sequential model of the same walk."""
 
+import random
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from rosterline.operators.hints import SiteHints
 from rosterline.plans import crawl as C
+from rosterline.session import BucketedTable
 from rosterline.sources.runlog import event_rows
 
 BASE = "https://u.edu"
@@ -117,3 +121,112 @@ def test_long_chain_many_links_and_versions(spark):
     assert names == {"New Name", "Last One"}
     stats = C.run_stats(run, C.crawl_records(run), C.crawl_records(run)).first()
     assert (stats.pages_fetched, stats.pages_failed) == (8, 69)  # 68 profiles and the page after the last
+
+
+def chain_of(n, start=1):
+    """A start page and ``n`` - 1 further ones, each with one person and a link to the next."""
+    url = lambda k: f"{BASE}/people" if k == start else f"{BASE}/people?page={k}"
+    return [(url(k), lister([(f"p{k}", f"Person Number{k}")], f'<a rel="next" href="/people?page={k + 1}">Next</a>' if k < start + n - 1 else ""))
+            for k in range(start, start + n)]
+
+
+def jobs_of(spark, run):
+    group = f"crawl {uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_chain_takes_rounds_by_its_logarithm(spark):
+    jobs = {}
+    for n in (8, 128):
+        stored = chain_of(n) + [(f"{BASE}/people/p{k}", profile(f"Person {k}")) for k in range(1, n + 1, 2)]
+        crawl, jobs[n] = jobs_of(spark, lambda: C.crawl_replay(spark.createDataFrame(stored, "url string, html string"), starts(spark)))
+        rows = [(r.level, r.depth, r.url.removeprefix(BASE)) for r in crawl.visited.orderBy("level", "rank").collect()]
+        lists = [(k, 0, "/people" if k == 0 else f"/people?page={k + 1}") for k in range(n)]
+        details = [(k, 1, f"/people/p{k}") for k in range(1, n + 1, 2)]
+        assert rows == sorted(lists + details, key=lambda r: (r[0], -r[1]))
+        assert sum(r.pages_failed for r in crawl.failed.collect()) == n // 2
+    # 16 times the pages: four doublings more, each a handful of jobs.
+    assert jobs[128] - jobs[8] <= 4 * 16
+
+
+def model(pages, start, done=()):
+    """The walk page by page: (level, depth, url) in order and the number of failed fetches."""
+    queue, seen, visited, out, failed = [(start, 0, 0)], set(), set(done), [], 0
+    while queue:
+        url, depth, level = queue.pop(0)
+        if url in visited:
+            continue
+        if url not in pages:
+            failed += 1
+            continue
+        visited.add(url)
+        out.append((level, depth, url))
+        if depth == 0:
+            details, nexts = pages[url]
+            queue += [(d, 1, level + 1) for d in details]
+            for n in nexts:
+                if n not in seen:
+                    seen.add(n)
+                    queue.append((n, 0, level + 1))
+                    break
+    return out, failed
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_of_any_shape_are_walked_page_by_page(spark, seed):
+    """Loops, further candidates, detail links to list pages, dead ends, several crawls and a log of done pages."""
+    rng = random.Random(seed)
+    sites, crawls, log = {}, [], []
+    for site in range(4):
+        base = f"https://s{site}.edu"
+        url = lambda k, base=base: f"{base}/people/{k}"
+        for k in range(24):
+            if rng.random() < 0.06:
+                continue
+            nexts = [url(k + 1)] if rng.random() < 0.9 else [url(rng.randrange(26))]
+            nexts += [url(rng.randrange(26)) for _ in range(rng.choice([0, 0, 1, 2]))]
+            details = list(dict.fromkeys(url(rng.choice([rng.randrange(26), 100 + rng.randrange(9), 100 + k])) for _ in range(rng.choice([0, 1, 2]))))
+            sites[url(k)] = (details, nexts)
+        sites.update({url(100 + k): ([], []) for k in range(0, 24, 2)})
+        crawls += [url(0), url(5)]
+        log += [(url(5), url(rng.randrange(24)))]
+    html = {u: "<html><body>" + "".join(f'<div class="person-card"><h3><a href="{d}">Some Person</a></h3></div>' for d in ds)
+            + (f'<p><a rel="next" href="{ns[0]}">on</a>' + " ".join(f'<a href="{n}">next</a>' for n in ns[1:]) + "</p>" if ns else "") + "</body></html>"
+            for u, (ds, ns) in sites.items()}
+    pages = spark.createDataFrame(list(html.items()), "url string, html string")
+    done = event_rows(spark.createDataFrame(log, "crawl_id string, url string"), F.col("crawl_id"), F.lit("page_fetched"), C.task_id("url"))
+    options = C.CrawlOptions(hints=[SiteHints(".edu", profile_link_selector="h3 a")])
+    run = C.crawl_replay(pages, starts(spark, *crawls), options, done=done)
+    got = {c: [] for c in crawls}
+    for r in run.visited.orderBy("level", "rank").collect():
+        got[r.crawl_id].append((r.level, r.depth, r.url))
+    failed = {r.crawl_id: 0 for r in run.failed.collect()}
+    for r in run.failed.collect():
+        failed[r.crawl_id] += r.pages_failed
+    for c in crawls:
+        want, lost = model(sites, c, [u for d, u in log if d == c])
+        assert got[c] == want
+        assert failed.get(c, 0) == lost
+
+
+def test_visited_pages_stay_in_their_buckets(spark, pages):
+    table = BucketedTable(spark, "crawl_id", "task_id")
+    rows = spark.range(1000).selectExpr("cast(id % 7 as string) AS crawl_id", "sha2(cast(id as string), 256) AS task_id", "id")
+    table.append(rows.where("id < 600"))
+    table.append(rows.where("id >= 600"))
+    todo = spark.range(500, 1500).selectExpr("cast(id % 7 as string) AS crawl_id", "sha2(cast(id as string), 256) AS task_id").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = todo.join(table.frame.select("crawl_id", "task_id"), ["crawl_id", "task_id"], "left_anti")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange: the frontier's own, which its distinct needs anyway.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert table.close().count() == 1000

@@ -10,7 +10,7 @@ import oracle_check
 SF = f"{oracle_check.DATA}/sf0.001"
 #: Queries that come with the training-data operators have tests of their own.
 OWN_TESTS = {key for key, fn in entry.queries().items() if fn.__module__.startswith(("rosterline.llm", "corpus_pipeline"))}
-CRAWLS = OWN_TESTS | {"crawl_replay", "crawl_limits", "crawl_output", "run_stats"}
+CRAWLS = OWN_TESTS | {"crawl_replay", "crawl_limits", "crawl_output", "crawl_chain", "run_stats"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
