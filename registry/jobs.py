@@ -281,8 +281,14 @@ def stream_pages_to_records(spark, d):
     return spark.read.schema(", ".join(f"{c} string" for c in [*PERSON.names, "record_id"])).json(out)
 
 
-@query("stream_job_status", f"""WITH {OUTCOME_SQL} SELECT task_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, success, error
-    FROM outcome""")
+# A verdict is out once the watermark has passed it; a task that had none a day after its start has timed out then.
+@query("stream_job_status", f"""WITH {OUTCOME_SQL},
+    begun AS (SELECT user_id::VARCHAR AS task_id, min(ts) + INTERVAL 1 DAY AS silent FROM events GROUP BY 1),
+    closed AS (SELECT task_id, least(coalesce(ts, silent), silent) AS fin, coalesce(ts, silent) > silent OR ts IS NULL AS quiet, success, error
+        FROM begun LEFT JOIN outcome USING (task_id))
+    SELECT task_id, strftime(fin, '%Y-%m-%d %H:%M:%S.%f') AS at, CASE WHEN quiet THEN false ELSE success END AS success,
+        CASE WHEN quiet THEN 'Polling timeout after 900s' ELSE error END AS error
+    FROM closed WHERE fin <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_job_status(spark, d):
     source = scratch(spark, "statuses")
     observed = statuses(spark, d).withColumns({

@@ -1,11 +1,15 @@
+import datetime as dt
 import json
 import random
+import shutil
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rosterline.functions.sql import register_functions
+from rosterline.operators import enrich as E
 from rosterline.sources import pages as P
 from rosterline.sources import records as R
 from rosterline.sources import runlog as L
@@ -67,15 +71,51 @@ def test_stream_records(spark, tmp_path):
     assert sorted(r.page_url for r in rows) == ["https://u.edu/people/bea", "https://u.edu/people/wiel"]
 
 
+def run_statuses(spark, tmp_path, parts, schema, name, **options):
+    """The outcomes of a stream that gets one part a trigger, then a row of another task that moves the watermark past all."""
+    source = str(tmp_path / name)
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.02)  # files are taken in the order of their times
+    end = max(r[1] for part in parts for r in part) + dt.timedelta(days=200)
+    spark.createDataFrame([("end", end, 10**9, "pending", None, None, None)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (J.stream_job_status(stream, lateness="100 days", **options).writeStream.format("memory").queryName(name).outputMode("append")
+             .option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start())
+    query.awaitTermination(300)
+    if query.exception():
+        raise query.exception()
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+OBSERVED = "task_id string, ts timestamp, seq long, status string, error string, result_json string, fetch_error string"
+
+
 def test_stream_status_equals_batch(spark, tmp_path, statuses):  # noqa: F811
-    source = str(tmp_path / "st")
-    statuses.repartitionByRange(4, "ts").write.parquet(source)
-    stream = spark.readStream.schema(statuses.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    query = (J.stream_job_status(stream).writeStream.format("memory").queryName("outcomes").outputMode("append")
-             .option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start())
-    query.awaitTermination(120)
-    got = {r.task_id: (r.success, r.error) for r in spark.table("outcomes").collect()}
-    assert got == EXPECTED
+    rows = [tuple(r) for r in statuses.selectExpr("task_id", "cast(ts as timestamp)", "cast(seq as long)", "status", "error", "result_json", "fetch_error").collect()]
+    got = run_statuses(spark, tmp_path, [rows[k::4] for k in range(4)], OBSERVED, "outcomes")
+    assert {r[0]: (r[3], r[4]) for r in got if r[0] in EXPECTED} == EXPECTED
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_outcomes_do_not_hang_on_the_order_of_arrival(spark, tmp_path, seed):
+    """Any order and split of the rows into triggers gives what the batch form gives; quiet tasks time out."""
+    rng = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"t{rng.randint(0, 11)}", start + dt.timedelta(seconds=rng.randint(0, 2500), microseconds=rng.randint(0, 3)), k,
+             rng.choice(["pending"] * 6 + ["processing", "completed", "failed", "odd", None]), rng.choice([None, "e"]), "{}",
+             rng.choice([None] * 12 + ["net"])) for k in range(120)]
+    rows += [("quiet", start, 1000, "pending", None, None, None), ("quiet", start + dt.timedelta(seconds=5), 1001, "processing", None, None, None)]
+    want = sorted(tuple(r) for r in E.job_outcome(spark.createDataFrame(rows, OBSERVED), order="seq").collect())
+    rng.shuffle(rows)
+    cuts = sorted(rng.sample(range(1, len(rows)), 3))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    got = run_statuses(spark, tmp_path, parts, OBSERVED, f"order{seed}")
+    quiet = [r for r in got if r[0] == "quiet"]
+    assert [r[:2] + r[3:5] for r in quiet] == [("quiet", start + dt.timedelta(days=1), False, "Polling timeout after 900s")]
+    open_ = {r[0] for r in rows} - {w[0] for w in want}
+    assert [r for r in got if r[0] not in open_] == want
+    assert {r[0] for r in got} - {"end"} == {r[0] for r in rows}
 
 
 def test_pruning_keeps_every_deciding_row():
@@ -108,6 +148,26 @@ def test_stream_skip_done(spark, tmp_path):
     assert L.read_events(spark, log).count() == 4
 
 
+def test_stream_skip_done_reads_its_log_once(spark, tmp_path, monkeypatch):
+    source, log, checkpoint = str(tmp_path / "tasks"), str(tmp_path / "log"), str(tmp_path / "cp4")
+    L.log_events(L.event_rows(spark.createDataFrame([("r", "old"), ("other", "a")], "r string, t string"), F.col("r"), F.lit("page_fetched"), F.col("t")), log)
+    reads, worked, read = [], [], L.read_events
+    monkeypatch.setattr(J, "read_events", lambda *a: reads.append(a) or read(*a))
+
+    def offer(*batches):
+        for batch in batches:
+            spark.createDataFrame([(t, "x") for t in batch], "task_id string, more string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("task_id string, more string").option("maxFilesPerTrigger", 1).parquet(source)
+        return J.stream_skip_done(stream, "r", log, lambda df, _: worked.extend(r.task_id for r in df.collect()), checkpoint)
+
+    offer(["a", "old", "a"], ["b", "old"], ["c"]).awaitTermination(120)
+    assert sorted(worked) == ["a", "b", "c"] and len(reads) == 1
+    # A restart goes on with its state, even where the log lost its rows.
+    shutil.rmtree(log)
+    offer(["a", "b", "old", "d"]).awaitTermination(120)
+    assert sorted(worked) == ["a", "b", "c", "d"]
+
+
 def test_sql_functions(spark):
     register_functions(spark)
     spark.createDataFrame([(PROFILE,)], "html string").createOrReplaceTempView("p")
