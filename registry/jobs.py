@@ -24,7 +24,7 @@ PROMPT_SCHEMA = RecordSchema.of({"name": "str", "email": "email?"})
         || chr(10) || '\"\"\"' || chr(10) || CASE WHEN length(text) <= 4000 THEN text ELSE substring(text, 1, 4000) || '...' END
         || chr(10) || '\"\"\"' || chr(10) || chr(10) || 'Return ONLY JSON with the schema keys.' AS prompt FROM documents""")
 def build_prompt(spark, d):
-    return table(spark, d, "documents").select("doc_id", fill.build_prompt("text", PROMPT_SCHEMA).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", fill.build_prompt("text", PROMPT_SCHEMA, 4000).alias("prompt"))
 
 
 ANSWER = """CASE (conv_id + turn) % 4
@@ -326,3 +326,21 @@ def sql_functions(spark, d):
         "SELECT doc_id, clean_text(text) AS cleaned, CAST(size(extract_emails(text)) AS BIGINT) AS mails, "
         "url_join('https://dir.example.org/d/', CAST(doc_id AS STRING)) AS link FROM {documents}",
         documents=table(spark, d, "documents"))
+
+
+@query("sql_nodes", f"{directory.LISTED} SELECT lists.url, name AS text, 4 AS depth FROM m JOIN lists USING (n, p)")
+def sql_nodes(spark, d):
+    """Names on cards, by a lateral join of pages with their own nodes."""
+    register_functions(spark)
+    return spark.sql("SELECT url, t.text, t.depth FROM {pages} p, LATERAL html_nodes(p.html) t WHERE t.tag = 'h3'", pages=directory.list_pages(spark, d))
+
+
+@query("sql_scalars", """
+    SELECT c_custkey, sha256(c_name) AS hash, c_custkey % 2 = 0 AS valid, '555-010-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phone,
+        'https://dir.example.org/a/' || c_custkey || '?x=1' AS link FROM customer""")
+def sql_scalars(spark, d):
+    register_functions(spark)
+    return spark.sql(
+        "SELECT c_custkey, content_hash(c_name) AS hash, email_valid(concat('c', c_custkey, if(c_custkey % 2 = 0, '@mail.example.org', '@mail'))) AS valid, "
+        "extract_phones(concat('call 555-010-', lpad(c_custkey % 10000, 4, '0'), ' now'))[0] AS phone, "
+        "url_join('https://dir.example.org/a/b/../c#d', concat('./', c_custkey, '?x=1')) AS link FROM {customer}", customer=table(spark, d, "customer"))

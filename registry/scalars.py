@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from registry import query, table
 from rosterline.functions import text, urls
+from rosterline.operators import domains
 from rosterline.sources.pages import spread
 
 # --- URLs ------------------------------------------------------------------------------------
@@ -90,6 +91,29 @@ def url_registered_domain(spark, d):
     return table(spark, d, "pages").select("page_id", urls.url_registered_domain("url").alias("domain"))
 
 
+RULES = ["com", "net", "org", "sg", "com.sg", "cn", "edu.cn", "*.ck", "!www.ck", "uk", "co.uk", "jp", "*.kobe.jp", "!city.kobe.jp"]
+#: Hosts by page: of plain, longer, wildcard and excepted suffixes, and of none.
+TAILS = ["a.b.com.sg", "x.uni.edu.cn", "p.q.ck", "www.ck", "shop.www.ck", "a.b.kobe.jp", "deep.city.kobe.jp", "New.CO.uk", "nowhere", "com"]
+
+
+@query("domains_by_rules", f"""
+    WITH r AS (SELECT ltrim(rule, '!') AS key, rule LIKE '!%' AS exc FROM (SELECT unnest({RULES}) AS rule)),
+    h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'h' || page_id % 50 || '.' ELSE '' END || ({TAILS})[page_id % {len(TAILS)} + 1] AS host FROM pages),
+    l AS (SELECT *, string_split(host, '.') AS w FROM h),
+    t AS (SELECT page_id, w, unnest(range(1, len(w) + 1)) AS p FROM l),
+    m AS (SELECT t.page_id, exc, len(w) - p + 1 - exc::INT AS size FROM t JOIN r
+        ON key = lower(array_to_string(w[p:], '.')) OR (p < len(w) AND key = lower('*.' || array_to_string(w[p + 1:], '.')))),
+    b AS (SELECT page_id, max_by(size, (exc::INT, size)) AS size FROM m GROUP BY page_id)
+    SELECT page_id, CASE WHEN size IS NULL THEN w[len(w)] || '.' ELSE coalesce(w[len(w) - size], '') || '.' || array_to_string(w[len(w) - size + 1:], '.') END AS domain
+    FROM l LEFT JOIN b USING (page_id)""")
+def domains_by_rules(spark, d):
+    host = F.concat(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("h"), F.col("page_id") % 50, F.lit("."))).otherwise(""),
+                    F.get(F.array(*map(F.lit, TAILS)), (F.col("page_id") % len(TAILS)).cast("int")))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://u@"), host, F.lit(":80/x?y=/z")).alias("url"))
+    rules = spark.createDataFrame([(r,) for r in RULES], "rule string")
+    return domains.with_registered_domain(pages, rules).select("page_id", "domain")
+
+
 @query("url_base", "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base FROM pages")
 def url_base(spark, d):
     return table(spark, d, "pages").select("page_id", urls.url_base("url").alias("base"))

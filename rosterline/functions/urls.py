@@ -22,7 +22,7 @@ HIERARCHICAL = ["", "http", "https", "ftp", "sftp", "file", "ws", "wss"]
 # Schemes where ";" opens parameters in the last path segment.
 WITH_PARAMS = ["", "http", "https", "ftp", "sftp", "tel", "sip", "sips", "rtsp", "mms"]
 
-# A short default list; pass ``suffixes`` for a full public-suffix table.
+# A short default list; ``operators.domains.with_registered_domain`` takes a full table of rules.
 DEFAULT_SUFFIXES = [
     "ac.uk", "ai", "app", "at", "au", "be", "biz", "br", "ca", "ch", "cn", "co", "co.in", "co.jp", "co.kr",
     "co.nz", "co.uk", "com", "com.au", "com.br", "cz", "de", "dev", "dk", "edu", "edu.au", "es", "eu", "fi",
@@ -123,12 +123,19 @@ def url_base(c: ColumnLike) -> Column:
     )
 
 
+def url_host(c: ColumnLike) -> Column:
+    """Host without user info, port and trailing dots, in its own case; also of a URL without scheme."""
+    authority = F.regexp_extract(_tidy(as_column(c)), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?([^/?#]*)", 1)
+    return F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r"(?::\d*)?\.*$", "")
+
+
 def url_registered_domain(c: ColumnLike, suffixes: list[str] | None = None) -> Column:
-    """``domain.suffix`` by the longest known suffix; ``host.`` when none is known."""
+    """``domain.suffix`` by the longest known suffix; ``host.`` when none is known.
+
+    For a short list of plain suffixes; ``operators.domains`` takes a table of rules of any size, with wildcards.
+    """
     known = suffixes or DEFAULT_SUFFIXES
-    url = _tidy(as_column(c))
-    authority = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?([^/?#]*)", 1)
-    host = F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r"(?::\d*)?\.*$", "")
+    host = url_host(c)
     labels = F.split(host, r"\.")
     count = F.size(labels)
     tails = F.transform(

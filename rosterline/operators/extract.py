@@ -193,11 +193,11 @@ def generic_title(page: Scope) -> Column:
     )
 
 
-def generic_bio(page: Scope) -> Column:
+def generic_bio(page: Scope, limit: int = 1000) -> Column:
     selectors = [*class_has("bio", "about", "description"), '[itemprop="description"]', ".biography", ".about-text"]
     return ladder(
-        *texts(page, selectors, longer(50), cut(1000)),
-        _opening_paragraphs(page, page.first_of("main", "#content", "body"), 1000),
+        *texts(page, selectors, longer(50), cut(limit)),
+        _opening_paragraphs(page, page.first_of("main", "#content", "body"), limit),
     )
 
 

@@ -14,9 +14,6 @@ from rosterline.functions.text import ColumnLike, as_column, present, py_strip,
 from rosterline.operators.ranking import call_budget
 from rosterline.operators.schema import RecordSchema, column_types, missing_required
 
-TEXT_LIMIT = 4000
-DEFAULT_BUDGET = 1000
-
 # The wording around schema, text and value.
 PROMPT_HEAD = "SCHEMA (JSON keys/types):\n{schema}\n\nEXTRACT from this TEXT (already DOM-cleaned):\n\"\"\"\n"
 PROMPT_TAIL = "\n\"\"\"\n\nReturn ONLY JSON with the schema keys."
@@ -24,9 +21,10 @@ NORMALIZE_HEAD = "Normalize this {field} field value:\n        \nInput: \""
 NORMALIZE_TAIL = "\"\n\nReturn only the cleaned/normalized value, nothing else."
 
 
-def build_prompt(text: ColumnLike, schema: RecordSchema) -> Column:
+def build_prompt(text: ColumnLike, schema: RecordSchema, limit: int | None) -> Column:
+    """The extraction prompt of a text, cut to ``limit`` characters; ``None`` takes it whole."""
     head = PROMPT_HEAD.format(schema=json.dumps(schema.types(), indent=2))
-    return F.concat(F.lit(head), truncate_text(text, TEXT_LIMIT), F.lit(PROMPT_TAIL))
+    return F.concat(F.lit(head), as_column(text) if limit is None else truncate_text(text, limit), F.lit(PROMPT_TAIL))
 
 
 def normalize_prompt(field: str, value: ColumnLike) -> Column:
@@ -59,10 +57,10 @@ def needs_fill(records: DataFrame, schema: RecordSchema) -> DataFrame:
 
 
 def llm_records(
-    responses: DataFrame, budget: int = DEFAULT_BUDGET, response: str = "response", url: str = "url",
+    responses: DataFrame, budget: int | None, response: str = "response", url: str = "url",
     order: str = "seq", enabled: bool = True, fenced: bool = True,
 ) -> DataFrame:
-    """Parsed answers within the budget of successful ones, as column ``answer``.
+    """Parsed answers within the budget of successful ones (``None``: all of them), as column ``answer``.
 
     The page's own URL replaces whatever the answer says about ``page_url``.
     """
@@ -71,7 +69,8 @@ def llm_records(
         parsed = parsed.where(F.lit(False))
     own = F.create_map(F.lit("page_url"), F.col(url))
     rest = F.map_filter("answer", lambda k, _: k != "page_url")
-    return call_budget(parsed, budget, order).withColumn("answer", F.map_concat(rest, own)).drop(response)
+    within = parsed if budget is None else call_budget(parsed, budget, order)
+    return within.withColumn("answer", F.map_concat(rest, own)).drop(response)
 
 
 def hybrid_fill(records: DataFrame, answers: DataFrame, on: str, schema: RecordSchema, order: str | None = None) -> DataFrame:

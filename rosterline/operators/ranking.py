@@ -48,7 +48,7 @@ def first_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     return with_global_rank(df, order, "_rank").where(F.col("_rank") < n).drop("_rank")
 
 
-def call_budget(df: DataFrame, budget: int = 1000, order: str = "seq") -> DataFrame:
+def call_budget(df: DataFrame, budget: int, order: str = "seq") -> DataFrame:
     """The rows whose calls fit the budget, in order."""
     return first_n(df, [order], budget)
 

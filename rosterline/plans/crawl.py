@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rosterline.functions.nodes import Page, with_dom
 from rosterline.functions.urls import has_cursor_param, task_id, url_is_person, url_join, url_normalize
 from rosterline.operators import listing, paging
-from rosterline.operators.dedup import dedup_by_keys, dedup_record_id
+from rosterline.operators.dedup import dedup_by_keys, dedup_record_id, with_record_id
 from rosterline.operators.extract import BLANK, resolve_all_fields
 from rosterline.operators.hints import SiteHints, hinted
 from rosterline.operators.ranking import top_k, with_global_rank, with_order_id
@@ -365,6 +365,50 @@ def crawl_replay(
     return Crawl(visited.close(), failed.frame, facts, starts, options)
 
 
+STEP_TYPE = "array<struct<kind:string,ord:bigint,url:string,name:string,email:string,phone:string,title:string>>"
+
+
+def list_page_step(dom: DataFrame, *keys: str, start_url: str = "url", url: str = "url", hints: list[SiteHints] | None = None,
+                   detail_limit: int | None = None) -> DataFrame:
+    """What one visit of a list page yields: keys, kind, ord, url, name, email, phone, title, record_id, confidence.
+
+    ``record`` rows are its cards, one per record id over all pages (by keys, then place); ``detail`` rows its links to person
+    pages, of the first ``detail_limit`` links where given; ``next`` rows the pages to go on with, by the page's strategy and
+    resolved against ``start_url``: all numbered ones, else the first candidate. All three are read off the parsed row
+    and exploded at once; only the record ids meet in a shuffle.
+    """
+    page, own = Page(), F.col(url)
+    links = listing.absolute(listing.detail_hrefs(page, hints=hints, url=own), own)
+    if detail_limit is not None:
+        links = F.slice(links, 1, detail_limit)
+    strategy = hinted(hints, own, lambda h: h.pagination_strategy, F.lit, paging.pagination_strategy(page, F.col(start_url)))
+    found = dom.withColumn("_cards", listing.cards(page, hints=hints, url=own)).withColumn("_strategy", strategy)
+    nexts = paging.candidate_urls(paging.candidate_hrefs(page, F.col("_strategy")), F.col(start_url), F.col("_strategy"))
+    found = found.select(*dict.fromkeys([*keys, url]), "_strategy", listing.card_records(page, F.col("_cards")).alias("_records"),
+                         F.filter(links, url_is_person).alias("_details"), nexts.alias("_nexts"))
+    norms = F.transform("_nexts", url_normalize)
+    numbered = F.filter("_nexts", lambda u, i: F.array_position(norms, url_normalize(u)) == i + 1)
+    taken = F.when(F.col("_strategy") == paging.NUMBERED, numbered).otherwise(F.slice("_nexts", 1, 1))
+
+    def records(c: Column, i: Column) -> Column:
+        target = F.when(c["href"] != BLANK, url_join(own, c["href"])).otherwise(BLANK)
+        return F.struct(F.lit("record"), i.cast("bigint"), target, c["name"], c["email"], c["phone"], c["title"])
+
+    def tasks(kind: str, urls: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.transform(urls, lambda u, i: F.struct(F.lit(kind), i.cast("bigint"), u, none, none, none, none)).cast(STEP_TYPE)
+
+    rows = F.concat(F.transform("_records", records).cast(STEP_TYPE), tasks("detail", F.col("_details")), tasks("next", taken))
+    rows = found.select(*dict.fromkeys([*keys, url]), F.explode(rows).alias("_row"))
+    is_record = F.col("_row.kind") == "record"
+    keyed = with_record_id(rows.select("*", F.col("_row.url").alias("page_url"), F.col("_row.name").alias("name"), F.col("_row.email").alias("email")).withColumn("source_url", own))
+    # Tasks are groups of their own.
+    group = F.when(is_record, F.col("record_id")).otherwise(F.concat_ws(" ", "_row.kind", F.col("_row.ord").cast("string"), own))
+    order = [F.col(k) for k in dict.fromkeys([*keys, url])] + [F.col("_row.ord")]
+    once = top_k(keyed.withColumn("_group", group), ["_group"], order, 1)
+    return once.select(*keys, "_row.*", F.when(is_record, F.col("record_id")).alias("record_id"), F.when(is_record, LIST_CONFIDENCE).alias("confidence"))
+
+
 def list_page_records(visited: DataFrame, facts: DataFrame) -> DataFrame:
     """Records of the cards on visited list pages."""
     rows = visited.where("depth = 0").join(facts.select("task_id", "cards"), "task_id").select(

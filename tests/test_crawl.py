@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from rosterline.functions.nodes import with_dom
 from rosterline.operators.hints import SiteHints
 from rosterline.plans import crawl as C
 from rosterline.session import BucketedTable
@@ -230,3 +231,15 @@ def test_visited_pages_stay_in_their_buckets(spark, pages):
     # One exchange: the frontier's own, which its distinct needs anyway.
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     assert table.close().count() == 1000
+
+
+def test_list_page_step(spark):
+    two = lister([("amy", "Amy Adams"), ("bob", "Bob Brown")], numbers(2, 3, 2))
+    pages = [(f"{BASE}/people", two, "a"), (f"{BASE}/people?page=2", lister([("amy", "Amy Adams")], '<a rel="next" href="?page=3">x</a>'), "b")]
+    dom = with_dom(spark.createDataFrame(pages, "url string, html string, tag string"))
+    rows = sorted((r.tag, r.kind, r.ord, r.url.removeprefix(BASE), r.name, r.confidence) for r in C.list_page_step(dom, "tag").collect())
+    assert rows == sorted([
+        ("a", "record", 0, "/people/amy", "Amy Adams", 0.8), ("a", "record", 1, "/people/bob", "Bob Brown", 0.8), ("a", "detail", 0, "/people/amy", None, None),
+        ("a", "detail", 1, "/people/bob", None, None), ("a", "next", 0, "/people?page=2", None, None), ("a", "next", 1, "/people?page=3", None, None),
+        ("b", "detail", 0, "/people/amy", None, None), ("b", "next", 0, "/people?page=3", None, None)])
+    assert C.list_page_step(dom, "tag", detail_limit=1).where("kind = 'detail'").count() == 2

@@ -16,7 +16,7 @@ KEY = lambda name, url: hashlib.sha256(f"{name}_{url}".encode()).hexdigest()[:16
 def test_prompt_and_normalize(spark):
     schema = RecordSchema.of({"name": "str", "age": "int?"})
     df = spark.createDataFrame([("x" * 4001, " y ", None)], "t string, a string, n string")
-    row = df.select(fill.build_prompt("t", schema).alias("p"), fill.normalize_field("t", "a").alias("v"),
+    row = df.select(fill.build_prompt("t", schema, 4000).alias("p"), fill.normalize_field("t", "a").alias("v"),
                     fill.normalize_field("a", "n").alias("w")).first()
     assert row.p.startswith('SCHEMA (JSON keys/types):\n{\n  "name": "str",\n  "age": "int?"\n}\n\nEXTRACT')
     assert "x" * 4000 + "...\n" in row.p and row.p.endswith("Return ONLY JSON with the schema keys.")
@@ -39,7 +39,7 @@ def test_llm_records_budget_and_fill(spark):
     answers = fill.llm_records(responses, budget=2)
     assert {r.url: r.answer for r in answers.collect()} == {
         "u1": {"name": "N1", "page_url": "u1"}, "u2": {"name": "", "page_url": "u2"}}
-    assert fill.llm_records(responses, enabled=False).count() == 0
+    assert fill.llm_records(responses, None, enabled=False).count() == 0
     records = spark.createDataFrame(
         [("u1", "", "", "T"), ("u2", None, "p", ""), ("u3", "Have", "p", ""), ("u9", "", "p", "")],
         "url string, name string, page_url string, title string")

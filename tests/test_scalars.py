@@ -7,6 +7,7 @@ import urllib.parse as up
 
 from pyspark.sql import functions as F
 
+from rosterline.operators import domains
 from rosterline.functions import text, urls
 
 
@@ -146,3 +147,14 @@ def test_record_id(spark):
     got = run(spark, rows, lambda: text.record_id("p", "n", "e", "s"), "p string, n string, e string, s string")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()[:16]
     assert got == [sha("jo|j@e.com"), sha("jo|j@e.com"), sha("p"), sha("u4")]
+
+
+def test_domain_rules(spark):
+    rules = spark.createDataFrame([(r,) for r in ("com", " Com.SG", "sg", "edu.cn", "*.ck", "!www.ck", "", None)], "rule string")
+    cases = {"https://a.b.com.sg/x": "b.com.sg", "x.uni.edu.cn": "uni.edu.cn", "http://p.q.ck:80": "p.q.ck", "http://q.ck": ".q.ck", "http://www.ck": "www.ck",
+             "http://shop.WWW.ck.": "WWW.ck", "http://u@n.m.sg": "m.sg", "http://10.1.2.3/": "10.1.2.3.", "localhost": "localhost.", "com": ".com", "": ".", None: None}
+    urls = spark.createDataFrame([(u, 1) for u in cases] * 2, "url string, rule int")
+    got = domains.with_registered_domain(urls, rules).collect()
+    assert len(got) == 2 * len(cases) and {r.url: r.domain for r in got} == cases
+    none = domains.with_registered_domain(urls.where("url = 'localhost'"), rules.limit(0))
+    assert {r.domain for r in none.collect()} == {"localhost."}

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterline.functions.sql import register_functions
+from rosterline.functions.urls import url_join
 from rosterline.operators import enrich as E
 from rosterline.sources import pages as P
 from rosterline.sources import records as R
@@ -183,3 +184,14 @@ def test_pages_with_status(spark):
     df = spark.createDataFrame([("https://E.com", "<p>", 404)], "link string, body string, status int")
     row = P.as_pages(df, "link", "body").first()
     assert row.status == 404 and len(row.task_id) == 64
+
+
+def test_sql_url_join_equals_the_native_one(spark):
+    register_functions(spark)
+    bases = ["https://e.org/a/b?x=1#f", "http://E.org", "mailto:x@y", "", "https://e.org/a/b/../c/", None, "file:///a/b", " https://e.org/x;p=1"]
+    refs = ["../c", "/d?q", "?z=1", "#g", "//h.org/x", "https://o.org/a b", "x/./y/../z", "", "mailto:a@b", None, ";p", "..", ".", "a//b", "g;x=1/../y"]
+    spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string").createOrReplaceTempView("joined")
+    both = spark.sql("SELECT b, r, url_join(b, r) AS j FROM joined").withColumn("k", url_join("b", "r"))
+    assert both.where("not (j <=> k)").collect() == []
+    plan = spark.sql("SELECT n.tag FROM joined, LATERAL html_nodes(b) n")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
