@@ -4,18 +4,17 @@ subsequence and answer checks."""
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import columns_as, map_batches, process_object, store
+from rosterline.llm.common import columns_as, map_batches, process_object
 
-EDGES = re.compile(r"^\W+|\W+$")
-#: Words whose features are kept per process.
-CACHE = 200_000
+#: Texts are read in parts of about so many characters, cut at white space.
+PART = 1 << 20
+SPACE = re.compile(r"\s")
 
 
 @dataclass(frozen=True)
@@ -43,30 +42,72 @@ class Retrieval:
         return max(self.rank, -(-items // self.items_a_direction))
 
 
-class _Features(dict):
-    def __init__(self, n: int):
-        super().__init__()
-        self.n = n
+#: An odd multiplier and its inverse among 64-bit numbers.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+#: The multiplier of numbers that are mixed.
+TURN = np.uint64(STEP)
 
-    def __missing__(self, word: str) -> int:
-        value = zlib.crc32(EDGES.sub("", word).encode("utf-8", "surrogatepass")) % self.n
-        if len(self) < CACHE:
-            self[word] = value
-        return value
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
 
-def features_of(words: list[str], n: int) -> np.ndarray:
-    cache = process_object(f"decontamination features {n}", lambda: _Features(n), grows=True)
-    return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For 16-bit characters 0 (white space), 1 (mark) or 2 (in a word); powers of the multiplier and of its inverse."""
+    kind = np.array([0 if chr(c).isspace() else 2 if chr(c).isalnum() or c == 95 else 1 for c in range(1 << 16)], np.uint8)
+    return kind, _powers(STEP, PART // 16), _powers(BACK, PART // 16)
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased words between white space; punctuation at their edges counts for nothing (see ``bare``)."""
-    return text.lower().split() if text else []
 
+def _read_part(low: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    table, powers, inverse = process_object("decontamination tables", _tables)
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    high = codes >= 1 << 16
+    kind = table[np.where(high, 0, codes)]
+    if high.any():
+        kind[high] = [2 if chr(c).isalnum() else 1 for c in codes[high].tolist()]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], kind > 0, [False]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    solid = np.append(np.flatnonzero(kind == 2), len(codes))
+    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    some = first <= last
+    starts, ends = np.where(some, solid[first], starts), np.where(some, solid[np.maximum(last, 0)] + 1, starts)
+    if not len(starts):
+        return np.zeros(0, np.int64), starts, ends
+    if len(codes) > len(powers):
+        powers, inverse = _powers(STEP, len(codes)), _powers(BACK, len(codes))
+    # A word's number is the sum of its characters, each times the power of its place in the word.
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint32(1)) * powers[: len(codes)])])
+    number = (sums[ends] - sums[starts]) * inverse[starts]
+    number = (number ^ (number >> np.uint64(29))) * TURN
+    return ((number >> np.uint64(32)) % np.uint64(n)).astype(np.int64), starts, ends
 
-def bare(words: list[str]) -> list[str]:
-    return [EDGES.sub("", w) for w in words]
+
+@dataclass(frozen=True)
+class Words:
+    """The words of a text: lower-cased, between white space, without marks at their edges; each one's feature and place."""
+
+    low: str
+    features: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, text: str | None, n: int) -> Words:
+        low, parts, at = text.lower() if text else "", [], 0
+        while at < len(low):
+            gap = SPACE.search(low, at + PART) if len(low) - at > PART else None
+            end = gap.end() if gap else len(low)
+            features, starts, ends = _read_part(low[at:end], n)
+            parts.append((features, starts + at, ends + at))
+            at = end
+        return cls(low, *(np.concatenate(p) for p in zip(*parts))) if parts else cls(low, *[np.zeros(0, np.int64)] * 3)
+
+    def __len__(self) -> int:
+        return len(self.features)
+
+    def between(self, lo: int, hi: int) -> list[str]:
+        return [self.low[a:b] for a, b in zip(self.starts[lo:hi].tolist(), self.ends[lo:hi].tolist())]
 
 
 def inverse_frequencies(docs: DataFrame, retrieval: Retrieval) -> np.ndarray:
@@ -77,7 +118,7 @@ def inverse_frequencies(docs: DataFrame, retrieval: Retrieval) -> np.ndarray:
         seen, rows = np.zeros(n, np.int64), 0
         for t in batch["text"]:
             rows += 1
-            seen[np.unique(features_of(list(set(words_of(t))), n))] += 1
+            seen[np.unique(Words.of(t, n).features)] += 1
         has = np.flatnonzero(seen)
         yield {"feature": np.append(has, -1), "n": np.append(seen[has], rows)}
 
@@ -92,11 +133,11 @@ def inverse_frequencies(docs: DataFrame, retrieval: Retrieval) -> np.ndarray:
     return np.log(1 + (1 + total) / (1 + out))
 
 
-def _vectors(texts: list[list[str]], idf: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _vectors(texts: list[Words], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sparse TF-IDF rows of unit length (features, values); no words: no features."""
     out = []
     for words in texts:
-        ids, counts = np.unique(features_of(words, n), return_counts=True)
+        ids, counts = np.unique(words.features, return_counts=True)
         values = (1 + np.log(np.maximum(counts, 1))) * idf[ids]
         out.append((ids, values / max(np.sqrt((values**2).sum()), 1e-12)))
     return out
@@ -125,8 +166,8 @@ def latent_space(vectors: list[tuple[np.ndarray, np.ndarray]], retrieval: Retrie
     return (basis @ turn[:, keep]).astype(np.float32)
 
 
-#: Odd multiplier of the words' numbers in a piece's, and bits of the table that most places of a text are refused by.
-TURN, SIEVE = np.uint64(0x9E3779B97F4A7C15), 20
+#: Bits of the table that most places of a text are refused by.
+SIEVE = 20
 
 
 def piece_numbers(hashed: np.ndarray, size: int) -> np.ndarray:
@@ -226,21 +267,25 @@ def _blocks(rows, size: int):
 
 
 def _queries(block, idf, retrieval: Retrieval):
-    words = [bare(words_of(r.text)) for r in block]
-    vectors = _vectors(words, idf, retrieval.features)
+    read = [Words.of(r.text, retrieval.features) for r in block]
+    vectors = _vectors(read, idf)
     space = latent_space(vectors, retrieval)
     latent = np.stack([v @ space[i] if len(i) else np.zeros(space.shape[1]) for i, v in vectors])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     table = space * idf[:, None]
-    own = np.array([(table[features_of(w, retrieval.features)].sum(axis=0) * v).sum() for w, v in zip(words, latent)])
-    needed = own * retrieval.coverage * np.minimum(1, 2.5 * retrieval.stride / np.maximum([len(w) for w in words], 1))
-    answers = [bare(words_of(r.answer)) if "answer" in r else [] for r in block]
-    hashed = [features_of(w, retrieval.features) for w in words]
-    queries = ([r.item_id for r in block], [places(h.tolist()) for h in hashed], words, answers, latent.astype(np.float32),
+    own = np.array([(table[w.features].sum(axis=0) * v).sum() for w, v in zip(read, latent)])
+    needed = own * retrieval.coverage * np.minimum(1, 2.5 * retrieval.stride / np.maximum([len(w) for w in read], 1))
+    answers = [_all(Words.of(r.answer, retrieval.features)) if "answer" in r else [] for r in block]
+    hashed = [w.features for w in read]
+    queries = ([r.item_id for r in block], [places(h.tolist()) for h in hashed], [_all(w) for w in read], answers, latent.astype(np.float32),
                np.maximum(needed, 1e-6).astype(np.float32), pieces(hashed))
     return queries, table.astype(np.float32)
 
 
+def _all(words: Words) -> list[str]:
+    return words.between(0, len(words))
+
+
 def _cosine(table: np.ndarray, hashed: np.ndarray, latent: np.ndarray) -> float:
     window = table[hashed].sum(axis=0)
     return float(window @ latent / max(np.linalg.norm(window), 1e-12))
@@ -257,10 +302,13 @@ def _search(docs: DataFrame, queries, weighted, retrieval: Retrieval) -> DataFra
 
         def compare(q: int, lo: int, hi: int, cosine) -> None:
             """Keep item ``q`` if these words hold it, and better than before."""
-            item = items[q]
-            if common_words(quick[q], len(item), hashed[lo:hi].tolist()) < retrieval.common * len(item):
-                return  # features agree wherever words do
-            piece = bare(words[lo:hi])
+            item, where, window = items[q], quick[q], hashed[lo:hi].tolist()
+            # Features agree wherever words do; no more words are common than the item has of those that stand here.
+            if sum(where[f].bit_count() for f in where.keys() & window) < retrieval.common * len(item):
+                return
+            if common_words(where, len(item), window) < retrieval.common * len(item):
+                return
+            piece = words.between(lo, hi)
             common = common_words(places(item), len(item), piece) / len(item)
             if common >= retrieval.common and common > best.get(q, (0,))[0]:
                 told = common_words(places(answers[q]), len(answers[q]), piece) / len(answers[q]) if answers[q] else None
@@ -268,10 +316,10 @@ def _search(docs: DataFrame, queries, weighted, retrieval: Retrieval) -> DataFra
                     best[q] = (common, told, cosine(lo, hi) if callable(cosine) else cosine)
 
         for doc, content in zip(batch["doc_id"], batch["text"]):
-            words = words_of(content)
-            if not words:
+            words = Words.of(content, n)
+            if not len(words):
                 continue
-            hashed = features_of(words, n)
+            hashed = words.features
             best: dict[int, tuple] = {}
             for q, start in piece_places(hashed, held):
                 reach = max(len(items[q]) // 2, stride)
