@@ -22,7 +22,7 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     #: "norm": the bin whose weighted residual vector is shortest afterwards; "dot": the largest weighted dot product.
     rule: str = "norm"
 

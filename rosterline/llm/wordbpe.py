@@ -22,6 +22,8 @@ CACHE = 150_000
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Chunks whose normal form is known to be NFC and lower case; all others go through the library whole.
 PLAIN = re.compile("[!-~¡-ÿ]+")
+#: Marks that often end a chunk.
+MARKS = frozenset(".,;:!?")
 #: str.split() takes these for white space, the vocabulary doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -58,8 +60,12 @@ class Chunks(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) <= 1000 and chunk.isascii() and chunk.isalpha():
-            ids = self.word(chunk.lower())
+        # Letters of a kind that is in normal form anyway, perhaps with a mark at the end, are one word and the mark.
+        letters = chunk[:-1] if chunk[-1] in MARKS else chunk
+        if len(chunk) <= 1000 and letters.isalpha() and (letters.isascii() or PLAIN.fullmatch(letters)):
+            ids = self.word(letters.lower())
+            if len(letters) < len(chunk):
+                ids += self.word(chunk[-1])
         elif len(chunk) > 1000 or "<|" in chunk or not PLAIN.fullmatch(chunk):
             ids = self.whole(chunk)
         else:
