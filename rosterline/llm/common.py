@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -23,6 +24,15 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what a finished task no longer holds back to the system: workers live on, and other stages need their memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def process_object(key: str, make: Callable[[], object], grows: bool = False) -> object:
     """One object per Python process. Functions sent by value get new globals in every task, so it is kept in a module.
 
@@ -33,6 +43,7 @@ def process_object(key: str, make: Callable[[], object], grows: bool = False) ->
         if grows:
             held.pop(held.pop("growing", None), None)
             held["growing"] = key
+            release_memory()
         held[key] = make()
     return held[key]
 
@@ -55,6 +66,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[dict] | None], sche
             for lo in range(0, batch.num_rows, rows):
                 for out in fn(batch.slice(lo, rows).to_pydict()):
                     yield to_batch(out, target)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -106,6 +118,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
         if rest is not None:
             for out in fn(rest):
                 yield to_batch(out, target)
+        release_memory()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

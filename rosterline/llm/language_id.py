@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import map_batches, process_object, store
+from rosterline.llm.common import map_batches, process_object, release_memory, store
 
 ORDER = 4
 #: Bits per symbol: 0 is any non-letter, 1 to 26 are a-z, other letters share the 37 classes above. A gram is the 24-bit
@@ -16,7 +16,7 @@ ORDER = 4
 BITS = 6
 UNKNOWN = "und"
 #: Batches of texts are cut at about so many characters for the counting and lookups.
-CHARS = 1 << 20
+CHARS = 1 << 18
 
 
 def _symbols() -> np.ndarray:
@@ -170,10 +170,10 @@ def identify(docs: DataFrame, model: KneserNey, text: str = "text", sharpness: f
     when entropies are turned into odds. Null texts, texts without a letter, and any text under a model of no language are
     ``und`` with score 0 and no entropy. Only the text is sent to Python; other columns ride along untouched.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast class would have to be importable where the workers are.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    def one(texts: list[str]) -> list[tuple]:
-        held = shared.value
+    def one(held: KneserNey, texts: list[str]) -> list[tuple]:
         entropy, n = held.entropies(texts)
         best = entropy.argmin(axis=1)
         lowest = entropy[np.arange(len(best)), best]
@@ -186,8 +186,10 @@ def identify(docs: DataFrame, model: KneserNey, text: str = "text", sharpness: f
 
         plain = [t if t is not None else "" for t in texts]
         rows = [(UNKNOWN, 0.0, None)] * len(plain)
-        if shared.value.langs:
-            rows = [r for lo, hi in _cut(plain) for r in one(plain[lo:hi])]
+        held = KneserNey(**shared.value)
+        if held.langs:
+            rows = [r for lo, hi in _cut(plain) for r in one(held, plain[lo:hi])]
+        release_memory()
         return pd.DataFrame(rows, columns=["lang", "score", "entropy"])
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_entropy")]
@@ -196,18 +198,18 @@ def identify(docs: DataFrame, model: KneserNey, text: str = "text", sharpness: f
                       F.col("_predicted.entropy").alias("lang_entropy"))
 
 
-def calibrated_rejection(predicted: DataFrame, deviations: float = 8.0, least_sd: float = 0.05) -> Column:
-    """A condition that is true for rejected rows of ``predicted`` (stored): no language, or an entropy further above the
-    mean of the documents of that prediction than ``deviations`` standard deviations (each at least ``least_sd``)."""
-    facts = predicted.where("lang_entropy is not null").groupBy("lang_pred").agg(
-        F.avg("lang_entropy").alias("m"), F.stddev_pop("lang_entropy").alias("s")).collect()  # a row per language
-    out = (F.col("lang_pred") == UNKNOWN) | F.col("lang_entropy").isNull()
-    for r in facts:
-        out = out | ((F.col("lang_pred") == r.lang_pred) & (F.col("lang_entropy") > r.m + deviations * max(r.s or 0.0, least_sd)))
-    return out
+def with_rejection(predicted: DataFrame, deviations: float = 8.0, least_sd: float = 0.05) -> DataFrame:
+    """``predicted`` (stored) plus ``rejected``: true without a language, or with an entropy further above the mean of the
+    documents of that prediction than ``deviations`` standard deviations (each at least ``least_sd``); never null. An empty table gives none."""
+    facts = predicted.where("lang_entropy is not null").groupBy(F.col("lang_pred").alias("_lang")).agg(
+        (F.avg("lang_entropy") + deviations * F.greatest(F.stddev_pop("lang_entropy"), F.lit(least_sd))).alias("_most"))
+    # A row per language of the model, which every task holds anyway.
+    out = predicted.join(F.broadcast(facts), F.col("lang_pred") == F.col("_lang"), "left")
+    rejected = (F.col("lang_pred") == UNKNOWN) | F.col("lang_entropy").isNull() | (F.col("lang_entropy") > F.col("_most"))
+    return out.withColumn("rejected", F.coalesce(rejected, F.lit(True))).drop("_lang", "_most")
 
 
 def known_languages(docs: DataFrame, text: str = "text", lang: str = "lang", deviations: float = 8.0) -> DataFrame:
     """The documents whose language is accepted, unchanged. Models and calibration come from these documents alone."""
     predicted = store(identify(docs, fit(docs, text, lang), text))
-    return predicted.where(~calibrated_rejection(predicted, deviations)).select(docs.columns)
+    return with_rejection(predicted, deviations).where(~F.col("rejected")).select(docs.columns)

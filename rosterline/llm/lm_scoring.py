@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +197,11 @@ def train(docs: DataFrame, net: Network = Network()) -> tuple[Lexicon, np.ndarra
     flat = net.start()
     context = docs.sparkSession.sparkContext
     for step in range(net.passes):
-        shared = context.broadcast((replace(lexicon, counts=None, spelling=None), flat))
+        shared = context.broadcast((lexicon.words, lexicon.rare, flat))
 
         def run(batches, step=step):
-            held, start = shared.value
+            words, rare, start = shared.value
+            held = Lexicon(words, rare, net)
             own, seen = start.astype(np.float32).copy(), 0
             layers = net.layers(own)
             for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
@@ -230,10 +231,11 @@ def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, doc_id: str = "do
     table of counts. Such a word, at most as frequent as the frequent ones, is no hot key of that join.
     """
     net = lexicon.net
-    shared = docs.sparkSession.sparkContext.broadcast((replace(lexicon, counts=None, spelling=None), flat))
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.rare, flat))
 
     def run(batch: dict):
-        held, weights = shared.value
+        words, unseen, weights = shared.value
+        held = Lexicon(words, unseen, net)
         layers = net.layers(weights)
         for lo in range(0, len(batch["text"]), 500):
             texts = batch["text"][lo : lo + 500]

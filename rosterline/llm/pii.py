@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import columns_as
+from rosterline.llm.common import columns_as, release_memory
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the base spans (fixed values), with possessive repeats and a left edge where these change no match.
@@ -296,6 +296,7 @@ def find(docs: DataFrame, weights: np.ndarray, text: str = "text", margin: float
                 rows = [(KINDS.index(k), s, e, True) for k in KINDS for s, e in base[k]]
                 rows += [(KINDS.index(k), s, e, False) for k, s, e in added_spans(t, base, held, margin)]
             out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(rows)])
+        release_memory()
         return pd.Series(out)
 
     own = [c for c in docs.columns if c != "pii"]
@@ -331,6 +332,7 @@ def masked(docs: DataFrame, weights: np.ndarray, text: str = "text", margin: flo
                     at = max(at, e)
                 t = "".join([*parts, t[at:]])
             out.append(t)
+        release_memory()
         return pd.Series(out, dtype=object)
 
     plain = weights.tolist()

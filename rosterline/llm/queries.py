@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterline.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, merkle_manifest, minhash_dedup, oracle, packing, pii
 from rosterline.llm import substring_dedup, target_resampling, token_counts, warc, wordbpe
+from rosterline.llm.common import store
 from rosterline.session import ensure_checkpoint_dir
 
 
@@ -57,7 +58,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     model = language_id.fit(docs.where(~held_out))
     found = language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    found = language_id.with_rejection(store(found.select("doc_id", "held_out", "lang_pred", "score", "lang_entropy")))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
