@@ -16,7 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay: those without a letter, and those far from every model, go."""
+    """Documents whose language is known stay: those without a letter (null and empty texts too), and those far from every
+    model, go. An empty table, or one without a language, keeps none."""
     return language_id.known_languages(docs.select(COLUMNS))
 
 
@@ -30,14 +31,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of ``benchmark`` go."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = store(found.where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold a passage of ``benchmark`` go, by their text: rows without an id too, and of rows that share
+    an id only those whose own text holds one. Null and empty texts hold none."""
+    key = F.xxhash64("text")
+    found = decontamination.contaminated(docs.where("text is not null").withColumn("doc_id", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = store(found.select(F.col("doc_id").alias("_key")).distinct())
+    keyed = docs.withColumn("_key", F.when(F.col("text").isNotNull(), key))
+    return keyed.join(gone, "_key", "left_anti").select(COLUMNS)
 
 
 def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; personal data in its text is replaced by the name of its kind."""
+    """Every document stays; personal data in its text is replaced by the name of its kind. A null text stays null, with a
+    null length; an empty table stays empty."""
     out = pii.masked(docs.select(COLUMNS), pii.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
