@@ -178,6 +178,21 @@ def done_antijoin(spark, d):
     return runlog.skip_done(tasks, _event_log(spark, d, F.col("event_type"))).select("c_custkey")
 
 
+@query("skip_logged", """
+    SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.c_custkey
+        AND e.event_id % 100 = c.c_custkey % 7)""")
+def skip_logged(spark, d):
+    """Tasks of seven of a hundred runs, against a stored log whose closed days were compacted."""
+    path = scratch(spark, "log")
+    runlog.log_events(runlog.event_rows(
+        table(spark, d, "events"), (F.col("event_id") % 100).cast("string"), F.lit("page_fetched"), F.col("user_id").cast("string"),
+        at=F.col("ts").cast("timestamp")), path)
+    runlog.compact_events(spark, path, "2024-01-10")
+    tasks = table(spark, d, "customer").select(
+        (F.col("c_custkey") % 7).cast("string").alias("run_id"), F.col("c_custkey").cast("string").alias("task_id"), "c_custkey")
+    return runlog.skip_logged(tasks, path).select("c_custkey")
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 KEYS = ["name", "email"]
@@ -323,10 +338,14 @@ def sort_by_score(spark, d):
     return ranking.with_global_rank(scored, [F.desc("c_acctbal"), "c_custkey"], "place").select("c_custkey", "place")
 
 
-@query("sample_n", "SELECT least(500, count(*)) AS n, least(500, count(*)) AS distinct_n FROM orders")
+@query("sample_n", "SELECT o_orderkey FROM orders ORDER BY sha256('7' || chr(31) || o_orderkey), o_orderkey LIMIT 500")
 def sample_n(spark, d):
-    sample = ranking.sample_n(table(spark, d, "orders").select("o_orderkey"), 500, ["o_orderkey"], 7)
-    return sample.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_n"))
+    return ranking.sample_n(table(spark, d, "orders").select("o_orderkey"), 500, ["o_orderkey"], 7)
+
+
+@query("first_names", "SELECT c_name, c_custkey FROM customer ORDER BY c_name, c_custkey LIMIT 100")
+def first_names(spark, d):
+    return ranking.first_n(table(spark, d, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"], 100)
 
 
 @query("union_records", """

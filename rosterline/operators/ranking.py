@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterline.session import materialize
 
 _ROW_BITS = 33
+_GREATEST = 1.7976931348623157e308
+# Size of the quantile sketch (some 80 KB) and the share of rows its ranks may be off by, with room to spare.
+_SKETCH_K = 4096
+_SLACK = 0.001
 
 
 def with_order_id(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
@@ -43,9 +48,56 @@ def with_global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank
     )
 
 
-def first_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    """The first ``n`` rows of a total order, by position, whatever ``n`` is."""
-    return with_global_rank(df, order, "_rank").where(F.col("_rank") < n).drop("_rank")
+def _order_number(name: str, kind: T.DataType) -> Column:
+    """A double that never falls where the column rises, null lowest; equal numbers say nothing. Zero for kinds without one."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.BooleanType):
+        number = c.cast("int")
+    elif isinstance(kind, T.NumericType):
+        number = c
+    elif isinstance(kind, T.DateType):
+        number = F.unix_date(c)
+    elif isinstance(kind, T.TimestampType):
+        number = F.unix_micros(c)
+    elif isinstance(kind, T.BinaryType) or isinstance(kind, T.StringType) and kind.isUTF8BinaryCollation():
+        # The first six bytes; shorter values are filled with zeros.
+        head = F.substring(F.encode(c, "UTF-8") if isinstance(kind, T.StringType) else c, 1, 6)
+        number = F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10)
+    else:
+        return F.lit(0.0)
+    number = number.cast("double")
+    # Sketches leave out NaN, which sorts last.
+    return F.when(F.isnan(number), _GREATEST).otherwise(F.greatest(F.least(F.coalesce(number, F.lit(-_GREATEST)), F.lit(_GREATEST)), F.lit(-_GREATEST)))
+
+
+def _widen(slack: float) -> float:
+    return slack * 4
+
+
+def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of a total order of ascending columns, by position, whatever ``n`` is.
+
+    A quantile sketch, merged from all tasks, gives a bound of the n-th value of the first column; only rows up to it are
+    stored and ranked. Their exact number is then counted, and the bound widened while they are too few, so the sketch's
+    error costs time, never rows. Ties of the bound are all ranked. ``df`` is read once for the sketch and once for the rows.
+    """
+    if n <= 0:
+        return df.limit(0)
+    number = _order_number(order[0], df.schema[order[0]].dataType)
+    about = df.select(number.alias("_c")).agg(F.count("*").alias("total"), F.kll_sketch_agg_double("_c", F.lit(_SKETCH_K)).alias("sketch"))
+    # The one row lies in memory, so that widening reads its sketch and not the table.
+    row = about.first()
+    if row.total <= n:
+        return df
+    one = df.sparkSession.createDataFrame([(bytearray(row.sketch),)], "sketch binary")
+    slack = _SLACK
+    while True:
+        share = min(1.0, max(0.0, n / row.total + slack))
+        bound = one.select(F.kll_sketch_get_quantile_double("sketch", F.lit(share))).first()[0]
+        within = materialize(df if share == 1.0 else df.where(number <= bound))
+        if share == 1.0 or within.count() >= n:
+            return with_global_rank(within, order, "_rank").where(F.col("_rank") < n).drop("_rank")
+        slack = _widen(slack)
 
 
 def call_budget(df: DataFrame, budget: int, order: str = "seq") -> DataFrame:
@@ -54,8 +106,13 @@ def call_budget(df: DataFrame, budget: int, order: str = "seq") -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows without replacement (all when fewer); the same ones for the same seed."""
-    return first_n(df, [F.xxhash64(*key, F.lit(seed)), *key], n)
+    """Exactly ``n`` rows without replacement (all when fewer); the same ones for the same seed.
+
+    Those with the least SHA-256 of the seed and the key columns' texts; equal ones go by the key columns.
+    """
+    texts = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in key]
+    drawn = df.withColumn("_draw", F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), *texts), 256))
+    return first_n(drawn, ["_draw", *key], n).drop("_draw")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column | str], k: int) -> DataFrame:

@@ -218,7 +218,7 @@ def stream_skip_done(
     batch id if that must not repeat output.
     """
     _rocksdb(tasks)
-    log = read_events(tasks.sparkSession, log_path).where(F.col("run_id") == run_id)
+    log = read_events(tasks.sparkSession, log_path, run_id)
     done = log.select(F.col("key").alias("task_id")).where("task_id is not null").distinct().groupBy("task_id")
     fresh = tasks.groupBy("task_id").transformWithStateInPandas(
         _FirstOffer(ttl_s), tasks.schema, "Append", "ProcessingTime" if ttl_s else "None", initialState=done)

@@ -86,6 +86,31 @@ def test_ranks_and_cuts(spark):
     assert ranking.sample_n(df, 5000, ["k"]).count() == 1000
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "date", "timestamp", "boolean", "binary", "decimal(20,3)", "array<bigint>"])
+def test_first_n_is_exact_for_any_kind(spark, kind):
+    made = {"bigint": "id * 7919 % 3001 - 1500", "double": "CASE id % 50 WHEN 0 THEN double('NaN') WHEN 1 THEN double('-Infinity') ELSE id / 7.0d END",
+            "string": "CASE id % 40 WHEN 0 THEN '' ELSE concat(char(int(id * 31 % 255)), 'ü', id) END", "date": "date_add(date'2020-01-01', int(id * 13 % 900))",
+            "timestamp": "timestamp_seconds(id * 7919 % 3001)", "boolean": "id % 3 = 0", "binary": "encode(concat(id * 7 % 100, 'x'), 'UTF-8')",
+            "decimal(20,3)": "id * 7919 % 3001 / 3", "array<bigint>": "array(id % 5)"}[kind]
+    df = spark.range(3000).select(F.expr(f"CAST(CASE WHEN id % 60 = 7 THEN NULL ELSE {made} END AS {kind})").alias("k"), "id").repartition(5)
+    for n in (0, 1, 45, 1700, 3000, 5000):
+        want = df.orderBy("k", "id").limit(n).select("id").collect()
+        assert {r.id for r in ranking.first_n(df, ["k", "id"], n).collect()} == {r.id for r in want}, n
+
+
+def test_first_n_stores_little_more_than_n(spark, monkeypatch):
+    stored = []
+    keep = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df: (out := keep(df), stored.append(out.count()))[0])
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"))
+    assert ranking.first_n(df, ["k"], 1000).count() == 1000
+    assert max(stored) < 2000
+    # A bound that falls short is widened.
+    monkeypatch.setattr(ranking, "_SLACK", -0.004)
+    monkeypatch.setattr(ranking, "_widen", lambda slack: slack + 0.003)
+    assert sorted(r.k for r in ranking.first_n(df, ["k"], 1000).collect()) == sorted(r.k for r in df.orderBy("k").limit(1000).collect())
+
+
 def test_schema(spark):
     schema = RecordSchema.of('{"name": "str", "n": "int?", "ok": "bool?", "site": "url?"}')
     df = apply_schema(spark.createDataFrame([("A", "7", "x"), (None, "z", "y")], "name string, n string, extra string"), schema)

@@ -60,6 +60,52 @@ def test_run_log_and_events(spark, tmp_path):
     assert [t for _, t in left(scope="all")] == ["task_456"] and len(left(force=True)) == 3
 
 
+def _files(folder):
+    return sorted(str(f.relative_to(folder)) for f in folder.rglob("*.parquet"))
+
+
+def test_event_log_has_few_files_and_skips_read_those_that_match(spark, tmp_path):
+    folder = tmp_path / "log"
+    path = str(folder)
+    rows = spark.range(100_000).select(
+        F.concat(F.lit("r"), "id").alias("run_id"), F.timestamp_seconds(F.lit(1_704_100_000) + F.col("id") % 2 * 86400).alias("timestamp"),
+        F.lit("page_fetched").alias("kind"), F.concat(F.lit("t"), F.col("id") % 10).alias("key"), F.lit(None).cast("string").alias("meta_json"))
+    L.log_events(rows, path)
+    assert len(_files(folder)) <= 2 * L.RUN_BUCKETS
+    for k in range(3):
+        L.log_events(rows.where(f"key = 't{k}'"), path)
+    many = len(_files(folder))
+    before = sorted(map(tuple, L.read_events(spark, path).groupBy("run_id", "key").count().collect()))
+    L.compact_events(spark, path, "2024-01-02")
+    assert sorted(map(tuple, L.read_events(spark, path).groupBy("run_id", "key").count().collect())) == before
+    left = _files(folder)
+    assert sum(f.startswith("day=2024-01-01") for f in left) <= L.RUN_BUCKETS and len(left) < many
+    assert L.read_events(spark, path, since="2024-01-02").count() + L.read_events(spark, path).where("day(timestamp) = 1").count() == 130_000
+    tasks = spark.createDataFrame([("r7", "t7"), ("r7", "t8"), ("r7", None), (None, "t7")], "run_id string, task_id string")
+    open_ = L.skip_logged(tasks, path)
+    assert {tuple(r) for r in open_.collect()} == {("r7", "t8"), ("r7", None), (None, "t7")}
+    plan = open_._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("\n", "") and "EqualTo(run_id,r7)" in plan
+    # Other buckets are never opened.
+    for f in _files(folder):
+        if f"bucket={spark.range(1).select(L._bucket(F.lit('r7'))).first()[0]}/" not in f:
+            (folder / f).write_bytes(b"broken")
+    assert L.skip_logged(tasks, path).count() == 3 and L.read_events(spark, path, "r7").count() == 1
+    assert L.skip_logged(tasks, path, force=True).count() == 4
+    assert L.skip_logged(tasks, str(tmp_path / "none")).count() == 4
+
+
+def test_skip_logged_in_any_run(spark, tmp_path):
+    path = str(tmp_path / "log")
+    events = spark.createDataFrame([("r1", "a"), (None, "b"), ("r2", None)], "r string, k string")
+    L.log_events(L.event_rows(events, F.col("r"), F.lit("x"), F.col("k"), at=F.lit(None).cast("timestamp")), path)
+    L.compact_events(spark, path, "2100-01-01")
+    tasks = spark.createDataFrame([("r9", "a"), ("r1", "b"), ("r1", "a"), ("r1", "c")], "run_id string, task_id string")
+    assert sorted(map(tuple, L.skip_logged(tasks, path, scope="all").collect())) == [("r1", "c")]
+    assert sorted(map(tuple, L.skip_logged(tasks, path).collect())) == [("r1", "b"), ("r1", "c"), ("r9", "a")]
+    assert L.skip_logged(tasks.where("false"), path).count() == 0
+
+
 def test_stream_records(spark, tmp_path):
     source = str(tmp_path / "pages")
     other = PROFILE.replace("https://u.edu/people/wiel", "https://u.edu/people/bea")
