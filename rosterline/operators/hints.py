@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.urls import url_registered_domain
-from rosterline.operators.skew import skew_join
 
 
 @dataclass(frozen=True)
@@ -66,4 +65,4 @@ def hints_lookup(targets: DataFrame, hints: DataFrame, target: str = "target") -
     blank = packed.where("_domain = ''").agg(F.min("ord").alias("ord"), F.min_by("hint", "ord").alias("hint")).where("ord is not null")
     everywhere = names.crossJoin(F.broadcast(blank))
     found = within.unionByName(around).unionByName(empty.where("ord is not null")).unionByName(everywhere)
-    return skew_join(targets, found.groupBy(target).agg(F.min_by("hint", "ord").alias("hint")), target)
+    return targets.join(found.groupBy(target).agg(F.min_by("hint", "ord").alias("hint")), target, "left")

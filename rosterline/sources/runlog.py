@@ -19,7 +19,7 @@ COUNTERS = ["pages_fetched", "pages_failed", "records_extracted", "records_valid
             "llm_cost"]
 EVENT_COLUMNS = ["run_id", "timestamp", "kind", "key", "meta_json"]
 #: Folders of a day. A layout setting: a log is read with the number it was written with.
-RUN_BUCKETS = 64
+RUN_BUCKETS = 16
 
 
 def run_rows(df: DataFrame, at: Column | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -100,6 +101,63 @@ def test_job_outcome(statuses):
     assert early["open"] == "Polling timeout after 900s" == early["done"]
 
 
+def first_verdict(rows, begun=None):
+    """(success, error) of one task's rows (ts in s, seq, status, error, fetch_error), read one by one; None while open."""
+    start = min(r[0] for r in rows) if begun is None else begun
+    for ts, _, status, error, fetch in sorted(rows, key=lambda r: r[:2]):
+        if fetch is not None:
+            return False, f"Polling error: {fetch}"
+        if status == "completed":
+            return True, None
+        if status == "failed":
+            return False, f"Job failed: {error or 'Unknown error'}"
+        if status not in ("pending", "processing"):
+            return False, f"Unknown status: {status}"
+        if ts - start > 900:
+            return False, "Polling timeout after 900s"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_job_outcome_equals_reading_rows_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(3000):
+        # A third of the rows is one task's, which never ends by itself.
+        task, waits = ("hot", True) if k % 3 == 0 else (f"t{rng.randint(0, 200)}", rng.random() < 0.8)
+        status = rng.choice(["pending", "processing"]) if waits else rng.choice(["completed", "failed", "odd", None])
+        rows.append((task, rng.choice([0, 450, 899, 900, 901, 902, 1800, rng.randint(0, 4000)]), k, status, rng.choice([None, "e"]),
+                     None if waits or rng.random() < 0.8 else "net", "{}"))
+    df = spark.createDataFrame(rows, "task_id string, s int, seq long, status string, error string, fetch_error string, result_json string")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r[1:6])
+    want = {t: v for t, g in groups.items() if (v := first_verdict(g))}
+    assert {r.task_id: (r.success, r.error) for r in E.job_outcome(df, order="seq").collect()} == want
+    begun = spark.createDataFrame([(t, 100) for t in groups if t != "t5"], "task_id string, b int").select(
+        "task_id", F.timestamp_seconds("b").alias("submitted_at"))
+    want = {t: v for t, g in groups.items() if (v := first_verdict(g, 100 if t != "t5" else 10**6))}
+    assert {r.task_id: (r.success, r.error) for r in E.job_outcome(df, begun, order="seq").collect()} == want
+
+
+def test_job_results_read_their_sources_seldom(spark, tmp_path):
+    """Scans and exchanges of the plans before reuse: records are read once, statuses three times (all, waiting, late)."""
+    for name, columns in (("r", "name string, page_url string, phone string"), ("s", "idempotency_key string, task_id string"),
+                          ("o", "task_id string, ts timestamp, status string, error string, result_json string")):
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / name))
+    records, sent, seen = (spark.read.parquet(str(tmp_path / n)) for n in "rso")
+    batch = E.enrich_batch(records, sent, seen)
+
+    def plan(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return text.count("FileScan"), text.count("Exchange hash") + text.count("Exchange Single")
+
+    scans, exchanges = plan(batch)
+    assert scans <= 5 and exchanges <= 9
+    more, further = plan(E.enrich_summary(batch))
+    assert more == scans and further <= exchanges + 2
+
+
 def test_parse_and_apply(spark):
     doc = json.dumps({"structured_data": {"title": "", "phone": "5"}, "notes": "n", "confidence_score": 8,
                       "references": {"http://a": "x", "http://b": "y"}})
