@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, lower-cased and split at white space; tasks send one row per batch and word."""
     def run(batch: dict):
         counts: Counter = Counter()
-        for t in batch["text"]:
-            counts.update((t or "").lower().split())
+        for words in words_of(batch["text"]):
+            counts.update(words)
         yield {"word": list(counts), "n": list(counts.values())}
 
     return map_batches(docs.select("text"), run, "word string, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n"))
@@ -119,32 +120,51 @@ class Lexicon:
     def class_of(self, word: str) -> int:
         return self.net.own + zlib.crc32(word[-2:].encode()) % self.net.shared
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, classes and within-class logarithms of all texts with edges between them, and each text's token count."""
-        cache = _Looked(self)
-        edge = (self.net.vocabulary + self.net.classes, -1, 0.0)
-        gap = [edge] * self.net.reach
-        found, counts = list(gap), []
-        for t in texts:
-            words = t.lower().split() if t else []
-            found.extend(map(cache.__getitem__, words))
-            found.extend(gap)
-            counts.append(len(words))
-        rows, classes, logs = zip(*found)
-        return np.array(rows, np.int32), np.array(classes, np.int32), np.array(logs, np.float32), np.array(counts, np.int64)
-
-
-class _Looked(dict):
+    @cached_property
+    def by_row(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class and within-class logarithm of every row of the embedding: frequent words, rare words by class, the edge."""
+        net = self.net
+        classes = np.full(net.vocabulary + net.classes + 1, -1, np.int32)
+        logs = np.zeros(len(classes), np.float32)
+        for row, c, log in self.words.values():
+            classes[row], logs[row] = c, log
+        classes[net.vocabulary : -1] = np.arange(net.classes)
+        logs[net.vocabulary : -1] = self.rare
+        return classes, logs
+
+    def tokens(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, classes and within-class logarithms of the words of all texts with edges between them, and each text's word count."""
+        frequent = self.row_of.get
+        ends = _Endings(self)
+        gap = [self.net.vocabulary + self.net.classes] * self.net.reach
+        found = list(gap)
+        for words in texts:
+            found += [ends[w[-2:]] if row is None else row for w, row in zip(words, map(frequent, words))]
+            found += gap
+        rows = np.array(found, np.int32)
+        classes, logs = self.by_row
+        return rows, classes[rows], logs[rows], np.array([len(words) for words in texts], np.int64)
+
+    @cached_property
+    def row_of(self) -> dict[str, int]:
+        return {word: row for word, (row, _, _) in self.words.items()}
+
+
+class _Endings(dict):
+    """Rows of rare words by their last two letters."""
+
     def __init__(self, lexicon: Lexicon):
-        super().__init__(lexicon.words)
+        super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[int, int, float]:
-        c = self.lexicon.class_of(word)
-        value = (self.lexicon.net.vocabulary + c, c, self.lexicon.rare[c])
-        if len(self) < 200_000:
-            self[word] = value
-        return value
+    def __missing__(self, ending: str) -> int:
+        row = self[ending] = self.lexicon.net.vocabulary + self.lexicon.class_of(ending)
+        return row
+
+
+def words_of(texts: list[str | None]) -> list[list[str]]:
+    """Lower-cased words between white space; a null text has none."""
+    return [t.lower().split() if t else [] for t in texts]
 
 
 def _sides(rows: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
@@ -180,8 +200,8 @@ def conditional_logs(layers: list[np.ndarray], rows: np.ndarray, classes: np.nda
     table, w1, b1, w2, b2 = layers
     at = np.flatnonzero(classes >= 0)
     out = np.zeros(len(rows), np.float64)
-    for lo in range(0, len(at), 8192):
-        part = at[lo : lo + 8192]
+    for lo in range(0, len(at), 1024):
+        part = at[lo : lo + 1024]
         h = np.maximum(table[_sides(rows, part, net.reach)].reshape(len(part), -1) @ w1 + b1, 0)
         z = h @ w2 + b2
         z -= z.max(axis=1, keepdims=True)
@@ -205,7 +225,7 @@ def train(docs: DataFrame, net: Network = Network()) -> tuple[Lexicon, np.ndarra
             own, seen = start.astype(np.float32).copy(), 0
             layers = net.layers(own)
             for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-                rows, classes, _, _ = held.tokens(batch.column(0).to_pylist())
+                rows, classes, _, _ = held.tokens(words_of(batch.column(0).to_pylist()))
                 at = np.flatnonzero(classes >= 0)
                 rng = np.random.default_rng([step, len(at)])
                 at = at[rng.random(len(at)) < net.masked]
@@ -238,11 +258,11 @@ def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, doc_id: str = "do
         held = Lexicon(words, unseen, net)
         layers = net.layers(weights)
         for lo in range(0, len(batch["text"]), 500):
-            texts = batch["text"][lo : lo + 500]
+            texts = words_of(batch["text"][lo : lo + 500])
             rows, classes, logs, counts = held.tokens(texts)
             sums = np.concatenate([[0.0], np.cumsum(conditional_logs(layers, rows, classes, logs, net))])
             ends = net.reach + np.cumsum(counts + net.reach) - net.reach
-            rare = [Counter(w for w in t.lower().split() if w not in held.words) if t else {} for t in texts]
+            rare = [Counter(w for w in words if w not in held.words) for words in texts]
             yield {"doc_id": batch["doc_id"][lo : lo + 500], "n_tokens": counts, "total": sums[ends] - sums[ends - counts],
                    "words": [list(r) for r in rare], "times": [list(r.values()) for r in rare]}
 
