@@ -65,18 +65,17 @@ def attr(node: Column, name: str) -> Column:
     return F.coalesce(node["attrs"][name], F.lit(""))
 
 
-# How a node lies to one before it in the chain. The element after a whole subtree is the next sibling if the parent is the same.
-LINKS: dict[str, Callable[[Column, Column], Column]] = {
-    " ": lambda n, o: (n["id"] > o["id"]) & (n["id"] <= o["last"]),
-    ">": lambda n, o: n["parent"] == o["id"],
-    "+": lambda n, o: (n["parent"] == o["parent"]) & (n["id"] == o["last"] + 1),
-    "~": lambda n, o: (n["parent"] == o["parent"]) & (n["id"] > o["id"]),
-}
+def _ranks(places: Column, size: Column) -> Column:
+    """For every place from 0 to ``size`` how many of the sorted ``places`` lie before it: a table to look up in."""
+    return let(places, lambda at: F.flatten(F.concat(
+        F.transform(at, lambda p, i: F.array_repeat(i, p - F.coalesce(F.get(at, i - 1), F.lit(-1)))),
+        F.array(F.array_repeat(F.size(at), size - F.coalesce(F.get(at, F.size(at) - 1), F.lit(-1)))))))
 
 
-def _linked(before: Column, link: str, holds: Predicate) -> Predicate:
-    """Holds and lies to one of ``before`` as ``link`` says."""
-    return lambda n: holds(n) & F.exists(before, lambda o: LINKS[link](n, o))
+def _held(ranks: Column, places: Column, place: Column) -> Column:
+    """The position of ``place`` in the sorted, distinct ``places``; null if it isn't there."""
+    rank = F.get(ranks, place)
+    return F.when(F.get(places, rank) == place, rank)
 
 
 @dataclass(frozen=True)
@@ -177,6 +176,44 @@ class Scope:
 
         return holds, self.pool(tag, attrs)
 
+    def _linked(self, before: Column, link: str, pool: Column, holds: Predicate) -> Column:
+        """Nodes of ``pool`` that hold and lie to one of ``before`` as ``link`` says.
+
+        Places count from the scope's first node. Each node is looked up in tables by place, so the time is linear in the nodes.
+        """
+        base = F.coalesce(F.get(self.nodes, F.lit(0))["id"], F.lit(0))
+        size = F.size(self.nodes)
+
+        def inside(first: Column) -> Column:
+            """Nodes that more subtrees of ``before`` begin before than end before."""
+            begins = _ranks(F.transform(before, lambda o: o["id"] - first), size)
+            ends = _ranks(F.array_sort(F.transform(before, lambda o: o["last"] - first)), size)
+            return let(F.struct(begins.alias("begins"), ends.alias("ends")), lambda t: F.filter(
+                pool, lambda n: holds(n) & (F.get(t["begins"], n["id"] - first) > F.get(t["ends"], n["id"] - first))))
+
+        def met(first: Column, places: Column, place: Predicate) -> Column:
+            """Nodes whose ``place`` is one of the sorted, distinct ``places``."""
+            return let(places, lambda at: let(_ranks(at, size), lambda r: F.filter(
+                pool, lambda n: holds(n) & _held(r, at, place(n) - first).isNotNull())))
+
+        def after(first: Column) -> Column:
+            """Nodes behind the first of ``before`` that has the same parent; parents count from the one around the scope."""
+            pairs = F.array_sort(F.transform(before, lambda o: F.struct((o["parent"] + 1 - first).alias("p"), o["id"].alias("id"))))
+            firsts = let(pairs, lambda ps: F.filter(ps, lambda x, i: F.coalesce(F.get(ps, i - 1)["p"] != x["p"], F.lit(True))))
+            return let(firsts, lambda fs: let(F.transform(fs, lambda x: x["p"]), lambda at: let(_ranks(at, size), lambda r: F.filter(
+                pool, lambda n: holds(n) & F.coalesce(n["id"] > F.get(fs, _held(r, at, n["parent"] + 1 - first))["id"], F.lit(False))))))
+
+        def next_ones(first: Column) -> Column:
+            follow = F.transform(before, lambda o: F.struct(o["parent"].alias("p"), F.get(self.page_nodes, o["last"] + 1).alias("n")))
+            return F.array_sort(F.transform(F.filter(follow, lambda x: x["n"]["parent"] == x["p"]), lambda x: x["n"]["id"] - first))
+
+        return let(base, {
+            " ": inside,
+            ">": lambda first: met(first, F.transform(before, lambda o: o["id"] - first), lambda n: n["parent"]),
+            "+": lambda first: met(first, next_ones(first), lambda n: n["id"]),
+            "~": after,
+        }[link])
+
     def select(self, selector: str) -> Column:
         """All nodes matching a CSS selector, in document order.
 
@@ -189,12 +226,15 @@ class Scope:
             matched = None
             for link, simples in chain:
                 holds, pool = self._compound(simples)
-                matched = F.filter(pool, _linked(matched, link, holds) if link else holds)
+                if link:
+                    matched = let(matched, lambda before: self._linked(before, link, pool, holds))  # noqa: B023
+                else:
+                    matched = F.filter(pool, holds)
             found.append(matched)
         if len(found) == 1:
             return found[0]
         ids = F.flatten(F.array(*[F.transform(f, lambda n: n["id"]) for f in found]))
-        return F.filter(self.nodes, lambda n: F.array_contains(ids, n["id"]))
+        return F.transform(F.array_sort(F.array_distinct(ids)), lambda k: F.get(self.page_nodes, k))
 
     def first(self, selector: str) -> Column:
         return F.get(self.select(selector), F.lit(0))
