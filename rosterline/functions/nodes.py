@@ -106,9 +106,9 @@ class Scope:
         return F.when(node["parent"] >= 0, F.get(self.page_nodes, node["parent"]))
 
     def within(self, node: Column) -> Scope:
-        """The descendants of ``node``, taken as one slice of the page."""
-        inside = F.slice(self.page_nodes, node["id"] + 2, node["last"] - node["id"])
-        return Scope(self.text, inside, self.page_nodes)
+        """The descendants of ``node``, got by their places: a slice would first unpack all nodes of the page."""
+        places = F.when(node["last"] > node["id"], F.sequence(node["id"] + 1, node["last"])).when(node.isNotNull(), F.array().cast("array<int>"))
+        return Scope(self.text, F.transform(places, lambda k: F.get(self.page_nodes, k)), self.page_nodes)
 
     def _place(self, node: Column) -> Column:
         """Position among the elements of the same parent, from 1."""

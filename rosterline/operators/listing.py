@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,32 @@ def _any_word(words: list[str]) -> str:
 
 def card_score(page: Scope, card: Column) -> Column:
     """How person-like a node is."""
-    inside = page.within(card)
-    text = F.lower(page.text_of(card))
-
     def points(condition: Column, value: int) -> Column:
         return F.when(condition, value).otherwise(0)
 
-    return (
-        points(text.rlike(_any_word(ACADEMIC_WORDS)), 2)
-        + points(text.contains("@"), 3)
-        + points(text.rlike(r"\p{Nd}{3}[-.]?\p{Nd}{3}[-.]?\p{Nd}{4}"), 2)
-        + points(F.exists(inside.nodes, lambda n: n["tag"] == "img"), 1)
-        + points(
-            F.exists(inside.nodes, lambda n: (n["tag"] == "a") & attr(n, "href").rlike("/profile|/people")), 3)
-    )
+    def of_text(text: Column) -> Column:
+        return (
+            points(text.rlike(_any_word(ACADEMIC_WORDS)), 2)
+            + points(text.contains("@"), 3)
+            + points(text.rlike(r"\p{Nd}{3}[-.]?\p{Nd}{3}[-.]?\p{Nd}{4}"), 2)
+        )
+
+    def of_nodes(nodes: Column) -> Column:
+        return (
+            points(F.exists(nodes, lambda n: n["tag"] == "img"), 1)
+            + points(F.exists(nodes, lambda n: (n["tag"] == "a") & attr(n, "href").rlike("/profile|/people")), 3)
+        )
+
+    return let(F.lower(page.text_of(card)), of_text) + let(page.within(card).nodes, of_nodes)
+
+
+def _once(ids: Column, value: Callable[[Column], Column], each: Callable[[Column, Column], Column]) -> Column:
+    """``each(position, value(id))`` of every id, whose value is worked out once however often it is listed."""
+    def looked_up(known: Column) -> Column:
+        return let(F.transform(known, value), lambda values: F.transform(
+            ids, lambda k, i: each(i, F.get(values, (F.array_position(known, k) - 1).cast("int")))))
+
+    return let(F.array_distinct(ids), looked_up)
 
 
 def scored_cards(page: Scope) -> Column:
@@ -56,15 +70,14 @@ def scored_cards(page: Scope) -> Column:
 
     def matches(position: int, selector: str) -> Column:
         return F.transform(
-            page.select(selector),
-            lambda n: F.struct(F.lit(position).alias("selector"), n["id"].alias("id"), n.alias("node")),
-        )
+            page.select(selector), lambda n: F.struct(F.lit(position).alias("selector"), n["id"].alias("id")))
 
-    found = F.flatten(F.array(*[matches(i, s) for i, s in enumerate(CARD_SELECTORS)]))
-    scored = F.transform(
-        found,
-        lambda c: F.struct((-card_score(page, c["node"])).alias("order"), c["selector"], c["id"]),
-    )
+    def scores(found: Column) -> Column:
+        return _once(
+            F.transform(found, lambda c: c["id"]), lambda k: card_score(page, F.get(page.page_nodes, k)),
+            lambda i, score: F.struct((-score).alias("order"), F.get(found, i)["selector"].alias("selector"), F.get(found, i)["id"].alias("id")))
+
+    scored = let(F.flatten(F.array(*[matches(i, s) for i, s in enumerate(CARD_SELECTORS)])), scores)
     kept = F.array_sort(F.filter(scored, lambda c: c["order"] <= -MIN_SCORE))
     return F.transform(kept, lambda c: F.struct((-c["order"]).alias("score"), c["id"].alias("id")))
 
@@ -85,27 +98,31 @@ def cards(page: Scope, selector: str | None = None, hints: list[SiteHints] | Non
 
 def card_record(page: Scope, card: Column) -> Column:
     """struct(href, name, email, phone, title) of one card; ``href`` is still relative."""
-    inside = page.within(card)
-    anchors = inside.select("a")
-    person = F.get(F.filter(anchors, lambda n: attr(n, "href").rlike(CARD_LINK)), F.lit(0))
-    href = F.coalesce(attr_or_null(person, "href"), attr_or_null(F.get(anchors, F.lit(0)), "href"), F.lit(BLANK))
     text = page.text_of(card)
-    name = ladder(*[
-        inside.when_text(s, between(5, 100)) for s in ("h1", "h2", "h3", "h4", "a", '[class*="name"]')
-    ])
-
-    def with_name(name: Column) -> Column:
-        lines = F.transform(inside.nodes, page.clean_text_of)
-        job = F.filter(
-            lines,
-            lambda t: (t != BLANK) & (t != name) & (F.length(t) < 200) & F.lower(t).rlike(_any_word(JOB_WORDS)),
-        )
-        return F.struct(
-            href.alias("href"), name.alias("name"), first_email(text).alias("email"), first_phone(text).alias("phone"),
-            F.coalesce(F.get(job, F.lit(0)), F.lit(BLANK)).alias("title"),
-        )
 
-    return let(name, with_name)
+    def of_nodes(nodes: Column) -> Column:
+        inside = Scope(page.text, nodes, page.page_nodes)
+        anchors = inside.select("a")
+        person = F.get(F.filter(anchors, lambda n: attr(n, "href").rlike(CARD_LINK)), F.lit(0))
+        href = F.coalesce(attr_or_null(person, "href"), attr_or_null(F.get(anchors, F.lit(0)), "href"), F.lit(BLANK))
+        name = ladder(*[
+            inside.when_text(s, between(5, 100)) for s in ("h1", "h2", "h3", "h4", "a", '[class*="name"]')
+        ])
+
+        def with_name(name: Column) -> Column:
+            lines = F.transform(inside.nodes, page.clean_text_of)
+            job = F.filter(
+                lines,
+                lambda t: (t != BLANK) & (t != name) & (F.length(t) < 200) & F.lower(t).rlike(_any_word(JOB_WORDS)),
+            )
+            return F.struct(
+                href.alias("href"), name.alias("name"), first_email(text).alias("email"), first_phone(text).alias("phone"),
+                F.coalesce(F.get(job, F.lit(0)), F.lit(BLANK)).alias("title"),
+            )
+
+        return let(name, with_name)
+
+    return let(page.within(card).nodes, of_nodes)
 
 
 def attr_or_null(node: Column, name: str) -> Column:
@@ -114,7 +131,8 @@ def attr_or_null(node: Column, name: str) -> Column:
 
 def card_records(page: Scope, found: Column) -> Column:
     """array of :func:`card_record` for an array of cards."""
-    return F.transform(found, lambda c: card_record(page, F.get(page.page_nodes, c["id"])))
+    return let(found, lambda cards: _once(
+        F.transform(cards, lambda c: c["id"]), lambda k: card_record(page, F.get(page.page_nodes, k)), lambda i, record: record))
 
 
 def detail_hrefs(page: Scope, selector: str | None = None, hints: list[SiteHints] | None = None,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +17,16 @@ _SKETCH_K = 4096
 _SLACK = 0.001
 
 
-def with_order_id(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+def with_order_id(df: DataFrame, order: list[Column | str], name: str = "rank",
+                  expand: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add an increasing, not dense id along a total order, sorted in parallel and checkpointed.
 
-    ``order`` should be unique: equal keys are never split across partitions.
+    ``order`` should be unique: equal keys are never split across partitions. ``expand``, a narrow step that keeps the order
+    (an explode, say), is taken between sort and id: what it makes is neither sorted nor worked out again for the ranges' bounds.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(
-        df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-        .withColumn(name, F.monotonically_increasing_id())
-    )
+    # Without a number, so that adaptive execution merges neighbouring ranges of a small table.
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(expand(ordered).withColumn(name, F.monotonically_increasing_id()))
 
 
 def with_global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank") -> DataFrame:

@@ -172,9 +172,11 @@ def _claims(candidates: DataFrame, contested: bool) -> DataFrame:
 
 def _level_columns(options: CrawlOptions) -> dict[str, Column]:
     """The expressions every level uses, built once per replay."""
-    details = listing.absolute(F.col("detail_hrefs"), F.col("url"))
-    if options.detail_limit is not None:
-        details = F.slice(details, 1, options.detail_limit)
+    def details_of(page_url: Column) -> Column:
+        urls = listing.absolute(F.col("detail_hrefs"), page_url)
+        return urls if options.detail_limit is None else F.slice(urls, 1, options.detail_limit)
+
+    details = details_of(F.col("url"))
     hrefs = (
         F.when(F.col("used") == paging.NEXT_LINK, F.col("next_hrefs"))
         .when(F.col("used") == paging.NUMBERED, F.col("numbered_hrefs"))
@@ -182,6 +184,7 @@ def _level_columns(options: CrawlOptions) -> dict[str, Column]:
     )
     return {
         "details": F.posexplode(details).alias("ord", "next_url"),
+        "detail_urls": details_of(F.col("parent_url")),
         "used": F.coalesce(
             F.col("strategy"), F.when(has_cursor_param("start_url"), paging.CURSOR).otherwise(paging.NONE)),
         "nexts": F.posexplode(paging.candidate_urls(hrefs, F.col("start_url"), F.col("used"))).alias("ord", "next_url"),
@@ -192,10 +195,11 @@ def _level_columns(options: CrawlOptions) -> dict[str, Column]:
 
 
 def _next_tasks(lists: DataFrame, seen: BucketedTable, columns: dict[str, Column], contested: bool) -> DataFrame:
-    """Tasks a level of list pages queues: detail pages first, then next pages."""
+    """What a level of list pages queues, in order of (crawl_id, parent_rank, kind, ord): a row per page with its detail
+    links, then its next pages. ``_queued`` makes tasks of them."""
     parent = ["crawl_id", "start_url", "level", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank")]
-    details = lists.select(*parent, columns["details"]).where(columns["is_person"]).withColumns({
-        "kind": F.lit(0), "depth": F.lit(1), "seen_url": F.lit(None).cast("string")})
+    details = lists.where(F.size("detail_hrefs") > 0).select(*parent, "detail_hrefs").withColumns({
+        "kind": F.lit(0), "ord": F.lit(0), "depth": F.lit(1), "next_url": F.lit(None).cast("string"), "seen_url": F.lit(None).cast("string")})
     candidates = lists.withColumn("used", columns["used"]).select(
         *parent, (F.col("used") == paging.NUMBERED).alias("many"), columns["nexts"],
     ).withColumn("seen_url", columns["seen_url"])
@@ -203,10 +207,18 @@ def _next_tasks(lists: DataFrame, seen: BucketedTable, columns: dict[str, Column
         candidates = candidates.join(seen.frame, ["crawl_id", "seen_url"], "left_anti")
     candidates = materialize(candidates)
     contested = contested and not candidates.where("not many").isEmpty()
-    nexts = _claims(candidates, contested).drop("many").withColumns({"kind": F.lit(1), "depth": F.lit(0)})
+    nexts = _claims(candidates, contested).drop("many").withColumns({
+        "kind": F.lit(1), "depth": F.lit(0), "detail_hrefs": F.lit(None).cast("array<string>")})
     return details.unionByName(nexts)
 
 
+def _queued(ordered: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """A row per link of a page's details, in their order, and per next page; links that lead to no person are left out."""
+    links = F.when(F.col("kind") == 0, F.filter(columns["detail_urls"], url_is_person)).otherwise(F.array("next_url"))
+    return ordered.select(
+        "crawl_id", "start_url", "level", "parent_url", "kind", "depth", "seen_url", F.explode(links).alias("next_url"))
+
+
 def _chain_heads(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """The list pages that are their crawl's only one in the frontier, and from which the first two edges lead on."""
     alone = frontier.where("depth = 0").groupBy("crawl_id").agg(F.count("*").alias("n")).where("n = 1").select("crawl_id")
@@ -342,8 +354,8 @@ def crawl_replay(
         if stops is not None:
             lists = lists.join(stops, "crawl_id", "left_anti")
         ranked = with_order_id(
-            _next_tasks(lists, seen, columns, contested=not first), ["crawl_id", "parent_rank", "kind", "ord"]
-        )
+            _next_tasks(lists, seen, columns, contested=not first), ["crawl_id", "parent_rank", "kind", "ord"],
+            expand=lambda ordered: _queued(ordered, columns))
         seen.append(ranked.where("kind = 1").select("crawl_id", "seen_url"))
         frontier = ranked.select(
             "crawl_id", "start_url", F.col("next_url").alias("url"), columns["task_id"].alias("task_id"), "parent_url",

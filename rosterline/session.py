@@ -73,7 +73,7 @@ def store_bucketed(df: DataFrame, key: str) -> DataFrame:
 class BucketedTable:
     """A Parquet table bucketed by ``keys`` that grows by appends: joins on these keys leave it where it is.
 
-    Rows are appended one file per bucket. ``frame`` is null before the first append; ``close`` takes the table out of the
+    Rows are appended one file per bucket, by fewer tasks than buckets where they are few. ``frame`` is null before the first append; ``close`` takes the table out of the
     catalog, its files and frames over them stay.
     """
 
@@ -85,7 +85,9 @@ class BucketedTable:
         self.frame: DataFrame | None = None
 
     def append(self, df: DataFrame) -> None:
-        placed = df.repartition(self.buckets, *self.keys)
+        same = int(self.spark.conf.get("spark.sql.shuffle.partitions")) == self.buckets
+        # Partitions are buckets then, and adaptive execution may merge but not split them.
+        placed = df.repartition(*self.keys) if same else df.repartition(self.buckets, *self.keys)
         placed.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         self.frame = self.spark.table(self.name)
