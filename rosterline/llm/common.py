@@ -33,6 +33,28 @@ def release_memory() -> None:
         pass  # not this C library
 
 
+def one_blas_thread() -> None:
+    """Let this worker's matrix products take one thread: tasks already fill the cores, and further threads wait busily.
+
+    Spark gives workers as many threads as an executor has cores; OpenBLAS reads that when it is loaded, so it is told here.
+    """
+    process_object("one BLAS thread", _set_one_blas_thread)
+
+
+def _set_one_blas_thread() -> bool:
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split(maxsplit=5)[5].strip() for line in maps if "openblas" in line}
+        for path in paths:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+    except (OSError, IndexError):
+        pass  # not this system
+    return True
+
+
 def process_object(key: str, make: Callable[[], object], grows: bool = False) -> object:
     """One object per Python process. Functions sent by value get new globals in every task, so it is kept in a module.
 
@@ -62,6 +84,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[dict] | None], sche
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        one_blas_thread()
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 for out in fn(batch.slice(lo, rows).to_pydict()):
@@ -104,6 +127,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
         return start
 
     def run(batches):
+        one_blas_thread()
         rest = None
         for batch in batches:
             if not batch.num_rows:

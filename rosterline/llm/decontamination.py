@@ -4,6 +4,7 @@ subsequence and answer checks."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ from rosterline.llm.common import columns_as, map_batches, process_object
 #: Texts are read in parts of about so many characters, cut at white space.
 PART = 1 << 20
 SPACE = re.compile(r"\s")
+#: Short texts are read together, up to so many characters.
+TOGETHER = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -110,15 +113,42 @@ class Words:
         return [self.low[a:b] for a, b in zip(self.starts[lo:hi].tolist(), self.ends[lo:hi].tolist())]
 
 
+def words_of_texts(texts: list[str | None], n: int) -> Iterator[Words]:
+    """``Words.of`` each text, in order; neighbouring short texts are read in one pass, with white space between them."""
+    lows: list[str] = []
+    size = 0
+
+    def held() -> Iterator[Words]:
+        low = "\n".join(lows)
+        features, starts, ends = _read_part(low, n)
+        edges = np.cumsum([0] + [len(t) + 1 for t in lows])
+        at = np.searchsorted(starts, edges).tolist()
+        for a, b in zip(at, at[1:]):
+            yield Words(low, features[a:b], starts[a:b], ends[a:b])
+
+    for text in texts:
+        low = text.lower() if text else ""
+        if lows and size + len(low) > TOGETHER:
+            yield from held()
+            lows, size = [], 0
+        if len(low) > TOGETHER:
+            yield Words.of(text, n)
+        else:
+            lows.append(low)
+            size += len(low) + 1
+    if lows:
+        yield from held()
+
+
 def inverse_frequencies(docs: DataFrame, retrieval: Retrieval) -> np.ndarray:
     """Logarithmic inverse document frequency of each feature over all documents; one row per batch and feature is sent."""
     n = retrieval.features
 
     def run(batch: dict):
         seen, rows = np.zeros(n, np.int64), 0
-        for t in batch["text"]:
+        for words in words_of_texts(batch["text"], n):
             rows += 1
-            seen[np.unique(Words.of(t, n).features)] += 1
+            seen[np.unique(words.features)] += 1
         has = np.flatnonzero(seen)
         yield {"feature": np.append(has, -1), "n": np.append(seen[has], rows)}
 
@@ -315,8 +345,7 @@ def _search(docs: DataFrame, queries, weighted, retrieval: Retrieval) -> DataFra
                 if told is None or told >= retrieval.answer:
                     best[q] = (common, told, cosine(lo, hi) if callable(cosine) else cosine)
 
-        for doc, content in zip(batch["doc_id"], batch["text"]):
-            words = Words.of(content, n)
+        for doc, words in zip(batch["doc_id"], words_of_texts(batch["text"], n)):
             if not len(words):
                 continue
             hashed = words.features
