@@ -7,13 +7,14 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import columns_as, map_batches, process_object, store
+from rosterline.llm.common import columns_as, map_batches, one_blas_thread, store
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, lower-cased and split at white space; tasks send one row per batch and word."""
     def run(batch: dict):
         counts: Counter = Counter()
-        for words in words_of(batch["text"]):
-            counts.update(words)
+        counts.update(chain.from_iterable(words_of(batch["text"])))
         yield {"word": list(counts), "n": list(counts.values())}
 
     return map_batches(docs.select("text"), run, "word string, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n"))
@@ -134,16 +134,17 @@ class Lexicon:
 
     def tokens(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, classes and within-class logarithms of the words of all texts with edges between them, and each text's word count."""
-        frequent = self.row_of.get
-        ends = _Endings(self)
-        gap = [self.net.vocabulary + self.net.classes] * self.net.reach
-        found = list(gap)
-        for words in texts:
-            found += [ends[w[-2:]] if row is None else row for w, row in zip(words, map(frequent, words))]
-            found += gap
-        rows = np.array(found, np.int32)
+        flat = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.row_of.get, flat, repeat(-1)), np.int32, len(flat))
+        rare, ends = np.flatnonzero(found < 0), _Endings(self)
+        found[rare] = [ends[flat[i][-2:]] for i in rare.tolist()]
+        counts = np.array([len(words) for words in texts], np.int64)
+        # Each text lies behind as many gaps as there are texts up to it.
+        reach = self.net.reach
+        rows = np.full(len(flat) + reach * (len(texts) + 1), self.net.vocabulary + self.net.classes, np.int32)
+        rows[np.arange(len(flat)) + np.repeat(reach * np.arange(1, len(texts) + 1), counts)] = found
         classes, logs = self.by_row
-        return rows, classes[rows], logs[rows], np.array([len(words) for words in texts], np.int64)
+        return rows, classes[rows], logs[rows], counts
 
     @cached_property
     def row_of(self) -> dict[str, int]:
@@ -171,18 +172,25 @@ def _sides(rows: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     return np.stack([rows[at + d] for d in range(-reach, reach + 1) if d], axis=1)
 
 
+def _centred(z: np.ndarray) -> np.ndarray:
+    """Logits less one number per row, in place, so that exponentials neither overflow nor all vanish: the same for all rows
+    where they lie close together, else each row's largest."""
+    most = z.max() if len(z) else 0.0
+    z -= most if len(z) and most - z.min() < 80 else z.max(axis=1, keepdims=True)
+    return z
+
+
 def learn(layers: list[np.ndarray], rows: np.ndarray, classes: np.ndarray, at: np.ndarray, net: Network) -> None:
     """Stochastic gradient steps, in place, on the masked positions ``at``."""
     table, w1, b1, w2, b2 = layers
+    ones = np.ones(net.classes, np.float32)
     for lo in range(0, len(at), net.batch):
         part = at[lo : lo + net.batch]
         sides = _sides(rows, part, net.reach)
         x = table[sides].reshape(len(part), -1)
         h = np.maximum(x @ w1 + b1, 0)
-        z = h @ w2 + b2
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
+        p = np.exp(_centred(h @ w2 + b2))
+        p /= (p @ ones)[:, None]
         p[np.arange(len(part)), classes[part]] -= 1
         p *= net.rate / len(part)
         back = (p @ w2.T) * (h > 0)
@@ -192,7 +200,9 @@ def learn(layers: list[np.ndarray], rows: np.ndarray, classes: np.ndarray, at: n
         w1 -= x.T @ back
         b1 -= back.sum(axis=0)
         # An embedding is met by few positions of a batch, so its step is that of a small batch.
-        np.subtract.at(table, sides.ravel(), into * (0.1 * net.batch))
+        order = np.argsort(flat := sides.ravel())
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        table[flat[order[first]]] -= np.add.reduceat(into[order], first, axis=0) * np.float32(0.1 * net.batch)
 
 
 def conditional_logs(layers: list[np.ndarray], rows: np.ndarray, classes: np.ndarray, logs: np.ndarray, net: Network) -> np.ndarray:
@@ -200,12 +210,22 @@ def conditional_logs(layers: list[np.ndarray], rows: np.ndarray, classes: np.nda
     table, w1, b1, w2, b2 = layers
     at = np.flatnonzero(classes >= 0)
     out = np.zeros(len(rows), np.float64)
+    ones = np.ones(net.classes, np.float32)
+    # What a word at one place adds to the hidden layer is the same wherever it stands.
+    places = [d for d in range(-net.reach, net.reach + 1) if d]
+    added = [table @ w1[k * net.width : (k + 1) * net.width] for k in range(len(places))]
+    added[0] = added[0] + b1
     for lo in range(0, len(at), 1024):
         part = at[lo : lo + 1024]
-        h = np.maximum(table[_sides(rows, part, net.reach)].reshape(len(part), -1) @ w1 + b1, 0)
-        z = h @ w2 + b2
-        z -= z.max(axis=1, keepdims=True)
-        out[part] = z[np.arange(len(part)), classes[part]] - np.log(np.exp(z).sum(axis=1)) + logs[part]
+        h = added[0][rows[part + places[0]]]
+        for d, one in zip(places[1:], added[1:]):
+            h += one[rows[part + d]]
+        np.maximum(h, 0, out=h)
+        z = h @ w2
+        z += b2
+        _centred(z)
+        own = z[np.arange(len(part)), classes[part]]
+        out[part] = own - np.log(np.exp(z, out=z) @ ones) + logs[part]
     return out
 
 
@@ -220,6 +240,7 @@ def train(docs: DataFrame, net: Network = Network()) -> tuple[Lexicon, np.ndarra
         shared = context.broadcast((lexicon.words, lexicon.rare, flat))
 
         def run(batches, step=step):
+            one_blas_thread()
             words, rare, start = shared.value
             held = Lexicon(words, rare, net)
             own, seen = start.astype(np.float32).copy(), 0
@@ -262,7 +283,8 @@ def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, doc_id: str = "do
             rows, classes, logs, counts = held.tokens(texts)
             sums = np.concatenate([[0.0], np.cumsum(conditional_logs(layers, rows, classes, logs, net))])
             ends = net.reach + np.cumsum(counts + net.reach) - net.reach
-            rare = [Counter(w for w in words if w not in held.words) for words in texts]
+            common = held.words
+            rare = [Counter([w for w in words if w not in common]) for words in texts]
             yield {"doc_id": batch["doc_id"][lo : lo + 500], "n_tokens": counts, "total": sums[ends] - sums[ends - counts],
                    "words": [list(r) for r in rare], "times": [list(r.values()) for r in rare]}
 
