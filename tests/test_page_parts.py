@@ -44,3 +44,7 @@ def test_small_steps_take_few_tasks(spark):
         assert sorted(r.id for r in held.close().collect()) == list(range(70))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_an_unclosed_script_takes_linear_time():
+    assert not H._feed_plain(H._Tree(), "<script>" + "a b " * 20_000 + "< c" * 2000)
