@@ -48,6 +48,11 @@ class Network:
         rng = np.random.default_rng(17)
         return np.concatenate([(rng.standard_normal(s) * (0.1 if k == 0 else len(s) > 1 and s[0] ** -0.5)).ravel() for k, s in enumerate(self.shapes)]).astype(np.float32)
 
+    @property
+    def stored(self) -> type:
+        """What the number of a row of the embedding is stored as."""
+        return np.uint16 if self.shapes[0][0] <= 1 << 16 else np.int32
+
     def layers(self, flat: np.ndarray) -> list[np.ndarray]:
         out, at = [], 0
         for s in self.shapes:
@@ -134,17 +139,22 @@ class Lexicon:
 
     def tokens(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, classes and within-class logarithms of the words of all texts with edges between them, and each text's word count."""
+        found, _, counts = self.found(texts)
+        rows = _with_edges(found, counts, self.net)
+        classes, logs = self.by_row
+        return rows, classes[rows], logs[rows], counts
+
+    def found(self, texts: list[list[str]]) -> tuple[np.ndarray, list[dict[str, int]], np.ndarray]:
+        """The rows of all texts' words one after the other, and of each text the words without a row of their own, how often
+        it has them, and its word count."""
         flat = list(chain.from_iterable(texts))
         found = np.fromiter(map(self.row_of.get, flat, repeat(-1)), np.int32, len(flat))
-        rare, ends = np.flatnonzero(found < 0), _Endings(self)
-        found[rare] = [ends[flat[i][-2:]] for i in rare.tolist()]
         counts = np.array([len(words) for words in texts], np.int64)
-        # Each text lies behind as many gaps as there are texts up to it.
-        reach = self.net.reach
-        rows = np.full(len(flat) + reach * (len(texts) + 1), self.net.vocabulary + self.net.classes, np.int32)
-        rows[np.arange(len(flat)) + np.repeat(reach * np.arange(1, len(texts) + 1), counts)] = found
-        classes, logs = self.by_row
-        return rows, classes[rows], logs[rows], counts
+        at, ends = np.flatnonzero(found < 0), _Endings(self)
+        rare = [flat[i] for i in at.tolist()]
+        found[at] = [ends[w[-2:]] for w in rare]
+        cuts = np.searchsorted(at, np.concatenate([[0], np.cumsum(counts)])).tolist()
+        return found, [Counter(rare[lo:hi]) for lo, hi in zip(cuts, cuts[1:])], counts
 
     @cached_property
     def row_of(self) -> dict[str, int]:
@@ -168,6 +178,20 @@ def words_of(texts: list[str | None]) -> list[list[str]]:
     return [t.lower().split() if t else [] for t in texts]
 
 
+def _with_edges(found: np.ndarray, counts: np.ndarray, net: Network) -> np.ndarray:
+    """The rows of texts of so many words, as many edges before, between and after them as the network reaches."""
+    rows = np.full(len(found) + net.reach * (len(counts) + 1), net.vocabulary + net.classes, np.int32)
+    # Each text lies behind as many gaps as there are texts up to it.
+    rows[np.arange(len(found)) + np.repeat(net.reach * np.arange(1, len(counts) + 1), counts)] = found
+    return rows
+
+
+def _read_rows(binaries: list[bytes], net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of stored documents with edges between them, and their word counts."""
+    counts = np.array([len(b) for b in binaries], np.int64) // np.dtype(net.stored).itemsize
+    return _with_edges(np.frombuffer(b"".join(binaries), net.stored), counts, net), counts
+
+
 def _sides(rows: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     return np.stack([rows[at + d] for d in range(-reach, reach + 1) if d], axis=1)
 
@@ -217,9 +241,9 @@ def conditional_logs(layers: list[np.ndarray], rows: np.ndarray, classes: np.nda
     added[0] = added[0] + b1
     for lo in range(0, len(at), 1024):
         part = at[lo : lo + 1024]
-        h = added[0][rows[part + places[0]]]
+        h = added[0].take(rows[part + places[0]], axis=0)
         for d, one in zip(places[1:], added[1:]):
-            h += one[rows[part + d]]
+            h += one.take(rows[part + d], axis=0)
         np.maximum(h, 0, out=h)
         z = h @ w2
         z += b2
@@ -229,24 +253,67 @@ def conditional_logs(layers: list[np.ndarray], rows: np.ndarray, classes: np.nda
     return out
 
 
-def train(docs: DataFrame, net: Network = Network()) -> tuple[Lexicon, np.ndarray]:
+@dataclass
+class Corpus:
+    """Documents split into words once, for learning and scoring: ``table`` holds of each ``(row, doc_id, rows, words, times)``,
+    its number, its words' rows in the embedding, two or four bytes each, and its other words with their numbers."""
+
+    lexicon: Lexicon
+    table: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame, net: Network = Network(), doc_id: str = "doc_id", text: str = "text") -> Corpus:
+        """Counts the words of all texts, then looks each of them up."""
+        lexicon = Lexicon.fit(columns_as(docs, text=text), net)
+        return cls(lexicon, looked_up(docs, lexicon, doc_id, text))
+
+
+def looked_up(docs: DataFrame, lexicon: Lexicon, doc_id: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """The table of a ``Corpus``, stored, so that a row's number is the same in every read. Without ``doc_id`` it serves for
+    learning only and leaves out the words that have no row of their own."""
+    net = lexicon.net
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.rare))
+
+    def run(batch: dict):
+        held = Lexicon(*shared.value, net)
+        for lo in range(0, len(batch["text"]), 500):
+            found, rare, counts = held.found(words_of(batch["text"][lo : lo + 500]))
+            binary, ends = found.astype(net.stored), np.cumsum(counts).tolist()
+            ids = batch.get("doc_id", [None] * len(batch["text"]))[lo : lo + 500]
+            if doc_id is None:
+                rare = [{}] * len(rare)
+            yield {"doc_id": ids, "rows": [binary[a:b].tobytes() for a, b in zip([0, *ends], ends)],
+                   "words": [list(r) for r in rare], "times": [list(r.values()) for r in rare]}
+
+    plain = columns_as(docs, text=text)
+    if doc_id is not None:
+        plain = columns_as(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = map_batches(plain, run, "doc_id long, rows binary, words array<string>, times array<int>")
+    return store(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def train(docs: DataFrame | Corpus, net: Network = Network()) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights. In each pass every task learns from the masked positions of its own documents, starting from the
-    common weights; the weights are then averaged, by numbers of positions, in one aggregate by weight index."""
-    texts = columns_as(docs, text="text") if docs.columns != ["text"] else docs
-    lexicon = Lexicon.fit(texts, net)
-    flat = net.start()
-    context = docs.sparkSession.sparkContext
+    common weights; the weights are then averaged, by numbers of positions, in one aggregate by weight index.
+    A corpus brings its own lexicon and network."""
+    if isinstance(docs, Corpus):
+        lexicon, table = docs.lexicon, docs.table
+    else:
+        lexicon = Lexicon.fit(columns_as(docs, text="text"), net)
+        table = looked_up(docs, lexicon, None)
+    net, flat = lexicon.net, lexicon.net.start()
+    context = table.sparkSession.sparkContext
     for step in range(net.passes):
-        shared = context.broadcast((lexicon.words, lexicon.rare, flat))
+        shared = context.broadcast((lexicon.by_row[0], flat))
 
         def run(batches, step=step):
             one_blas_thread()
-            words, rare, start = shared.value
-            held = Lexicon(words, rare, net)
+            class_of, start = shared.value
             own, seen = start.astype(np.float32).copy(), 0
             layers = net.layers(own)
             for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-                rows, classes, _, _ = held.tokens(words_of(batch.column(0).to_pylist()))
+                rows, _ = _read_rows(batch.column(0).to_pylist(), net)
+                classes = class_of[rows]
                 at = np.flatnonzero(classes >= 0)
                 rng = np.random.default_rng([step, len(at)])
                 at = at[rng.random(len(at)) < net.masked]
@@ -256,43 +323,38 @@ def train(docs: DataFrame, net: Network = Network()) -> tuple[Lexicon, np.ndarra
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(len(own), seen, np.int64))], names=["i", "v", "n"])
 
-        sums = texts.mapInArrow(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
+        sums = table.select("rows").mapInArrow(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
         if sums.num_rows:
             flat = np.empty(len(flat), np.float32)
             flat[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
     return lexicon, flat
 
 
-def score(docs: DataFrame, lexicon: Lexicon, flat: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame | Corpus, lexicon: Lexicon, flat: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, pseudo_log_likelihood, per_token)``, one row per input row: each token of the whole text given
     both its sides. Texts without words (null, empty, blank) have 0 tokens, a sum of 0 and no mean; repeated rows get
-    equal scores; an empty table gives no rows.
+    equal scores; an empty table gives no rows. A corpus is scored by its own lexicon.
 
     What the network and the frequent words say is summed in each text's task; the text's other words go, once each, to the
     table of counts. Such a word, at most as frequent as the frequent ones, is no hot key of that join.
     """
+    if isinstance(docs, Corpus) and docs.lexicon is not lexicon:
+        raise ValueError("the corpus was looked up in another lexicon")
+    table = docs.table if isinstance(docs, Corpus) else looked_up(docs, lexicon, doc_id, text)
     net = lexicon.net
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.rare, flat))
+    shared = table.sparkSession.sparkContext.broadcast((*lexicon.by_row, flat))
 
     def run(batch: dict):
-        words, unseen, weights = shared.value
-        held = Lexicon(words, unseen, net)
+        class_of, log_of, weights = shared.value
         layers = net.layers(weights)
-        for lo in range(0, len(batch["text"]), 500):
-            texts = words_of(batch["text"][lo : lo + 500])
-            rows, classes, logs, counts = held.tokens(texts)
-            sums = np.concatenate([[0.0], np.cumsum(conditional_logs(layers, rows, classes, logs, net))])
+        for lo in range(0, len(batch["rows"]), 500):
+            rows, counts = _read_rows(batch["rows"][lo : lo + 500], net)
+            sums = np.concatenate([[0.0], np.cumsum(conditional_logs(layers, rows, class_of[rows], log_of[rows], net))])
             ends = net.reach + np.cumsum(counts + net.reach) - net.reach
-            common = held.words
-            rare = [Counter([w for w in words if w not in common]) for words in texts]
-            yield {"doc_id": batch["doc_id"][lo : lo + 500], "n_tokens": counts, "total": sums[ends] - sums[ends - counts],
-                   "words": [list(r) for r in rare], "times": [list(r.values()) for r in rare]}
+            yield {"row": batch["row"][lo : lo + 500], "doc_id": batch["doc_id"][lo : lo + 500], "n_tokens": counts, "total": sums[ends] - sums[ends - counts]}
 
-    plain = columns_as(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema = "doc_id long, n_tokens long, total double, words array<string>, times array<int>"
-    # Stored, so that a row's number is the same in both reads.
-    base = store(map_batches(plain, run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = base.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    base = store(map_batches(table.select("row", "doc_id", "rows"), run, "row long, doc_id long, n_tokens long, total double"))
+    rare = table.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     spelled = F.aggregate(
         F.regexp_extract_all(F.hex(F.col("word").cast("binary")), F.lit("(..)")), F.lit(lexicon.spelling[256]),
         lambda a, b: a + F.element_at(F.array(*map(F.lit, lexicon.spelling[:256])), F.conv(b, 16, 10).cast("int") + 1))

@@ -28,8 +28,8 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, *lm_scoring.train(docs.select("text")))
+    corpus = lm_scoring.Corpus.of(_table(spark, sf_dir, "documents"))
+    return lm_scoring.score(corpus, *lm_scoring.train(corpus))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

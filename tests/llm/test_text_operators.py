@@ -372,6 +372,37 @@ def test_rare_words_have_their_own_counts_and_unseen_ones_are_spelled(spark):
     assert sum(shares) == pytest.approx(1) and np.exp(lexicon.spelling).sum() == pytest.approx(1)
 
 
+def test_scoring_splits_each_text_twice_and_scores_as_from_the_texts(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    texts = [" ".join(g.choice(VOCABULARY, g.integers(0, 40))) + f" Only{k}" * int(k % 3) for k in range(40)] + [None, "", " \n", "ΑΣ ΑΣ\u2003ß", "so " * 9000]
+    rows = [*enumerate(texts), (None, "so so"), (3, texts[3])]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(counted, "doc_id long, text string")
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    got = queries.op3_lm_scoring(spark, "").collect()
+    assert read.value == 2 * len(rows)  # counted once, looked up once
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(k), len((t or "").lower().split())) for k, t in rows)
+    # The stored rows are those of the texts, and a corpus is scored as its documents are.
+    corpus = lm_scoring.Corpus.of(docs, lm_scoring.Network(vocabulary=50))
+    lexicon, flat = lm_scoring.train(corpus)
+    of_id = {r.doc_id: r for r in corpus.table.collect()}
+    for k, t in enumerate(texts):
+        words = lm_scoring.words_of([t])
+        want, _, _, _ = lexicon.tokens(words)
+        assert lm_scoring._read_rows([of_id[k].rows], lexicon.net)[0].tolist() == want.tolist()
+        assert dict(zip(of_id[k].words, of_id[k].times)) == {w: words[0].count(w) for w in words[0] if w not in lexicon.words}
+    scores = [sorted(map(str, lm_scoring.score(d, lexicon, flat).selectExpr("doc_id", "n_tokens", "round(per_token, 6) AS p").collect())) for d in (corpus, docs)]
+    assert scores[0] == scores[1]
+    with pytest.raises(ValueError):
+        lm_scoring.score(corpus, lm_scoring.train(docs)[0], flat)
+
+
 # Pipeline
 
 @needs_tables
